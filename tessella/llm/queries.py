@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": url_filter.op1_url_filters,
         "op2_line_dedup": line_dedup.op2_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filters": url_filter.OP1_SQL,
         "op2_line_dedup": line_dedup.OP2_SQL,
     }
