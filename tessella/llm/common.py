@@ -7,7 +7,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts spell it: [\x20\x09-\x0D].
@@ -33,10 +33,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def hex_digest(raw) -> str:
-    return raw.hex()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else, as in tests, one of our own."""
     sc = spark.sparkContext
@@ -85,7 +81,7 @@ def stored(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and where it is."""
     spark = df.sparkSession
     path = new_path(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -107,6 +103,22 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
 
 
+def running_before(df: DataFrame, key: str, value: str, out: str, width: int = 4096) -> DataFrame:
+    """df (key: distinct whole numbers from 0) with out: the sum of value over all smaller keys.
+
+    Sums of width keys at a time are added up in one task, the keys of each such run in another.
+    """
+    run = F.floor(F.col(key) / width)
+    runs = df.groupBy(run.alias("_run")).agg(F.sum(value).alias("_sum"))
+    before = runs.withColumn("_prior", F.sum("_sum").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.sum(value).over(Window.partitionBy("_run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        df.withColumn("_run", run).withColumn("_own", own).join(before.drop("_sum"), "_run")
+        .withColumn(out, F.coalesce("_own", F.lit(0)) + F.coalesce("_prior", F.lit(0)))
+        .drop("_run", "_own", "_prior")
+    )
+
+
 def n_partitions(df: DataFrame, rows: int, rows_each: int) -> int:
     """Partitions for so many rows, at least the session's number for shuffles."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
