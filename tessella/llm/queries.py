@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, token_store, url_filter
+from . import decontaminate, line_dedup, packing, simhash, token_store, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": url_filter.op1_url_filters,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op4_simhash": simhash.op4_simhash,
         "op6_packing": packing.op6_packing,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op10_token_output": token_store.op10_token_output,
