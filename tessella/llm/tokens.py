@@ -5,21 +5,39 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that a worker keeps the ids of; a full cache starts anew, which costs time, not results.
-CACHE_PIECES = 900_000
+#: Pieces in a generation of a worker's cache. When one is full, the last is forgotten, but for what was met again;
+#: that costs time, not results.
+CACHE_PIECES = 800_000
 
-#: Characters that are encoded at a time.
-SLICE_CHARS = 1_000_000
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKS = "[.,:;!?|]*"
+
+class _Pieces(dict):
+    """Ids by piece, in two generations; what both lack is computed."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute = compute
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.compute(piece)
+        if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
-#: Pieces that are encoded in one run, with a separator between them.
-RUN = 2_000
 
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers, as encode() of the library does.
@@ -30,9 +48,9 @@ class PieceEncoder:
       space with the word, number or sign run behind it, and looks at nothing before it.
     * "dropped" (lower-cased words, white space dropped): at every space and line feed.
 
-    Pieces that the cache lacks are encoded in runs. Between them stands a separator that is a pre-token and a token of
-    its own there and in none of them; the runs' ids are cut at it. Other pieces are encoded one by one, and any other
-    kind of tokenizer encodes whole texts. Special tokens' strings are ordinary text.
+    A piece that the cache lacks, if it is Latin-1 letters with common signs and line feeds, falls apart into pre-tokens
+    between those, and the library's model encodes each word. All other pieces go through the whole tokenizer, and any
+    other kind of tokenizer encodes whole texts. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -43,71 +61,63 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = _kind(spec)
-        self.pieces: dict[str, bytes] = {}
-        self.between, self.plain = _BETWEEN.get(self.kind, ("", None))
-        self.mark = self.tokenizer.encode(self.between.strip(" "), add_special_tokens=False).ids
-
-    def split(self, text: str) -> list[str]:
-        if self.kind == "dropped":
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        self.pieces = _Pieces(self._piece if self.kind == "dropped" else lambda p: self._piece(" " + p))
+        self.signs: dict[str, bytes] = {"": b""}
+        lead = " ?" if self.kind == "leading" else ""
+        self.simple = re.compile(f"({lead}{_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?")
+        self.model = self.tokenizer.model
+        self.space = _byte_char(0x20)
+        self.as_bytes = {ord(c): "".join(map(_byte_char, c.encode())) for c in [" ", *map(chr, range(0xC0, 0x100))]}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        fits = self.plain.fullmatch
-        plain = [p for p in missing if fits(p)] if len(self.mark) == 1 else []
-        for a in range(0, len(plain), RUN):
-            self._learn_run(plain[a : a + RUN])
-        rest = [p for p in missing if p not in self.pieces]
-        self.pieces.update(zip(rest, self._library(rest), strict=True))
-
-    def _learn_run(self, some: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(self.between.join(some), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == self.mark[0])
-        if len(cuts) != len(some) - 1:
-            return  # they're encoded one by one
-        raw, begin, pieces = ids.tobytes(), 0, self.pieces
-        for piece, cut in zip(some, [*(cuts * 4).tolist(), len(raw)], strict=True):
-            pieces[piece] = raw[begin:cut]
-            begin = cut + 4
-
-    def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+    def _word(self, word: str) -> bytes:
+        if self.kind == "dropped":
+            word = word.lower()
+            if not word.isascii():
+                word = word.translate(self.as_bytes)
+        elif not word.isascii():
+            word = word.translate(self.as_bytes)
+        elif word[0] == " ":
+            word = self.space + word[1:]
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _sign(self, sign: str) -> bytes:
+        if (ids := self.signs.get(sign)) is None:
+            if len(self.signs) > 10_000:
+                self.signs = {"": b""}
+            ids = self.signs[sign] = self._library([sign])[0]
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        if m := self.simple.fullmatch(piece):
+            first, signs, feed, second, more = m.groups()
+            ids = self._word(first)
+            if signs:
+                ids += self._sign(signs)
+            return ids + self._sign(feed) + self._word(second) + self._sign(more) if feed else ids
+        return self._library([piece])[0] if piece else b""
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         if self.kind == "whole":
             for text in texts:
                 yield from self._library([text])
             return
-        some: list[str] = []
-        size = 0
-        for text in texts:
-            some.append(text)
-            size += len(text)
-            if size >= SLICE_CHARS:
-                yield from self._encode(some)
-                some, size = [], 0
-        yield from self._encode(some)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) if t else [] for t in texts]
-        missing = set().union(*split).difference(self.pieces)
-        if missing:
-            if len(self.pieces) + len(missing) > CACHE_PIECES:
-                self.pieces.clear()
-                missing = set().union(*split)
-            self._learn(list(missing))
         ids_of = self.pieces.__getitem__
-        return [b"".join(map(ids_of, pieces)) for pieces in split]
+        for text in texts:
+            if self.kind == "dropped":
+                yield b"".join(map(ids_of, text.replace("\n", " ").split(" ")))
+                continue
+            first, *rest = [x.removeprefix(" ") if k else x for k, x in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" ")
+            yield self._piece(first) + b"".join(map(ids_of, rest))
+
 
+def _byte_char(b: int) -> str:
+    """The letter that byte-level vocabularies write for a byte: printable Latin-1 stands for itself, others follow from U+0100 in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return chr(b if b in own else 0x100 + sum(x not in own for x in range(b)))
 
-#: Separators, and the pieces that can stand beside them.
-_BETWEEN = {
-    "leading": ("\t", re.compile(r"(?s) ?[^\s](?:[^\t]*[^\s])?")),
-    "dropped": (" ~ ", re.compile(r"[^~\s]+")),
-}
 
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
