@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, simhash, token_store, url_filter
+from . import decontaminate, line_dedup, packing, simhash, token_store, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": url_filter.op1_url_filters,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op4_simhash": simhash.op4_simhash,
+        "op5_warc": warc.op5_warc,
         "op6_packing": packing.op6_packing,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op10_token_output": token_store.op10_token_output,
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filter.OP1_SQL,
         "op2_line_dedup": line_dedup.OP2_SQL,
+        "op5_warc": warc.OP5_SQL,
         "op7_decontamination": decontaminate.OP7_SQL,
     }
