@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, simhash, token_store, url_filter, warc
+from . import decontaminate, language_id, line_dedup, packing, simhash, token_store, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": warc.op5_warc,
         "op6_packing": packing.op6_packing,
         "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_language_id": language_id.op8_language_id,
         "op10_token_output": token_store.op10_token_output,
     }
 
