@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, packing, simhash, token_store, url_filter, warc
+from . import ann, decontaminate, language_id, line_dedup, packing, simhash, token_store, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": url_filter.op1_url_filters,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_nearest": ann.op3_nearest,
         "op4_simhash": simhash.op4_simhash,
         "op5_warc": warc.op5_warc,
         "op6_packing": packing.op6_packing,
