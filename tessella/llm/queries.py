@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, language_id, line_dedup, packing, simhash, token_store, url_filter, warc
+from . import ann, decontaminate, language_id, line_dedup, lm_scoring, packing, simhash, token_store, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": packing.op6_packing,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_language_id": language_id.op8_language_id,
+        "op9_lm_scoring": lm_scoring.op9_lm_scoring,
         "op10_token_output": token_store.op10_token_output,
     }
 
