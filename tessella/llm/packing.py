@@ -51,42 +51,48 @@ def capacities(tokens: int, window: int) -> list[int]:
     return [window] * (tokens // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def deal(queues: dict[str, list[int]], share: dict[str, float], deficit: dict[str, float], window: int, min_piece: int) -> Iterator[tuple[str, int, int, int, int, int]]:
-    """Yields (source, document's number in its queue, start, length, sequence, offset).
+def deal(queues: dict[str, list[int]], share: dict[str, float], deficit: dict[str, float], window: int, min_piece: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Yields (document, start, length, sequence, offset); documents are numbered through all queues in order.
 
-    queues: each source's document sizes in order. A source's turn adds its share of a window to its deficit; when that
+    queues: each source's document sizes. A source's turn adds its share of a window to its deficit; when that
     covers min_piece or the rest of the document, it is served as far as the deficit goes. A turn that a full window
     breaks off goes on in the next window; what is left of deficits is carried from window to window. A source that
     runs dry leaves the round.
     """
     todo = capacities(sum(map(sum, queues.values())), window)
+    numbers, n_docs = {}, 0
+    for s, sizes in queues.items():
+        numbers[s] = n_docs
+        n_docs += len(sizes)
     turn = deque(sorted((s for s in queues if queues[s]), key=lambda s: (-deficit.get(s, 0.0), s)))
-    at = dict.fromkeys(queues, (0, 0))
     owed = {s: deficit.get(s, 0.0) for s in queues}
     quantum = {s: max(share.get(s, 0.0) * window, 1.0) for s in queues}
+    at = dict.fromkeys(queues, 0)
+    begun = dict.fromkeys(queues, 0)
     fresh = True
     for sequence, room in enumerate(todo):
         offset = 0
         while offset < room:
             s = turn[0]
-            if fresh:
-                owed[s] += quantum[s]
-                fresh = False
-            doc, start = at[s]
+            due = owed[s] + quantum[s] if fresh else owed[s]
+            fresh = False
+            doc, start = at[s], begun[s]
             left = queues[s][doc] - start
-            if owed[s] < min(min_piece, left) and len(turn) > 1:
+            least = min_piece if min_piece < left else left
+            if due < least and len(turn) > 1:
+                owed[s] = due
                 turn.rotate(-1)
                 fresh = True
                 continue
-            n = min(left, room - offset, max(int(owed[s]), min(min_piece, left)))
-            yield s, doc, start, n, sequence, offset
+            n = min(left, room - offset, max(int(due), least))
+            yield numbers[s] + doc, start, n, sequence, offset
             offset += n
-            owed[s] -= n
-            if start + n < queues[s][doc]:
-                at[s] = doc, start + n
-            elif doc + 1 < len(queues[s]):
-                at[s] = doc + 1, 0
-            else:
+            owed[s] = due - n
+            if n < left:
+                begun[s] = start + n
+                continue
+            at[s], begun[s] = doc + 1, 0
+            if doc + 1 == len(queues[s]):
                 turn.popleft()
                 fresh = True
 
@@ -118,28 +124,22 @@ def pack(tokens: DataFrame, window: int = WINDOW, min_piece: int = MIN_PIECE, pa
 
     def run(docs: pa.Table, carry: pa.Table) -> pa.Table:
         docs = docs.sort_by([("source", "ascending"), ("doc_id", "ascending"), ("n_tokens", "ascending")])
-        source, doc_id, sizes, wide = (docs.column(c).to_pylist() for c in ("source", "doc_id", "n_tokens", "wide"))
-        raw = docs.column("ids")
         queues: dict[str, list[int]] = {}
-        rows: dict[str, list[int]] = {}
-        for i, s in enumerate(source):
-            queues.setdefault(s, []).append(sizes[i])
-            rows.setdefault(s, []).append(i)
-        share = dict(zip(carry.column("of").to_pylist(), carry.column("share").to_pylist(), strict=True))
-        deficit = dict(zip(carry.column("of").to_pylist(), carry.column("deficit").to_pylist(), strict=True))
+        for s, size in zip(docs.column("source").to_pylist(), docs.column("n_tokens").to_pylist(), strict=True):
+            queues.setdefault(s, []).append(size)
+        of = carry.column("of").to_pylist()
+        share, deficit = (dict(zip(of, carry.column(c).to_pylist(), strict=True)) for c in ("share", "deficit"))
         first = carry.column("to_part")[0].as_py() << 32 if carry.num_rows else 0
-        out: list[list] = [[] for _ in range(7)]
-        last, ids = -1, b""
-        open_ids: dict[str, tuple[int, bytes]] = {}
-        for s, d, start, length, sequence, offset in deal(queues, share, deficit, window, min_piece):
-            i = rows[s][d]
-            last, ids = open_ids.get(s, (-1, b""))
-            if last != i:
-                ids = raw[i].as_py() if wide[i] else np.frombuffer(raw[i].as_py(), "<u2").astype("<u4").tobytes()
-                open_ids[s] = i, ids
-            for column, x in zip(out, (doc_id[i], start, length, sizes[i], first + sequence, offset, ids[4 * start : 4 * (start + length)]), strict=True):
-                column.append(x)
-        return pa.table([pa.array(x, pa.int64()) for x in out[:6]] + [pa.array(out[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        flat = b"".join([np.frombuffer(x.as_py(), "<u4" if w else "<u2").astype("<u4").tobytes() for x, w in zip(docs.column("ids"), docs.column("wide").to_pylist(), strict=True)])
+        sizes = docs.column("n_tokens").to_numpy()
+        pieces = np.array(list(deal(queues, share, deficit, window, min_piece)), np.int64).reshape(-1, 5)
+        doc, start, length, sequence, offset = pieces.T
+        begin = ((np.cumsum(sizes) - sizes)[doc] + start) * 4
+        ids = [flat[a:b] for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+        return pa.table(
+            [docs.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(sizes[doc]), pa.array(first + sequence), pa.array(offset), pa.array(ids, pa.binary())],
+            names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+        )
 
     return parted.groupBy("part").cogroup(carried.groupBy("to_part")).applyInArrow(run, _PIECE)
 

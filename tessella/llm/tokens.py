@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -105,12 +106,16 @@ class PieceEncoder:
                 yield from self._library([text])
             return
         ids_of = self.pieces.__getitem__
-        for text in texts:
-            if self.kind == "dropped":
-                yield b"".join(map(ids_of, text.replace("\n", " ").split(" ")))
-                continue
-            first, *rest = [x.removeprefix(" ") if k else x for k, x in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" ")
-            yield self._piece(first) + b"".join(map(ids_of, rest))
+        gc.disable()  # nothing here makes cycles, and the collector would walk the cache again and again
+        try:
+            for text in texts:
+                if self.kind == "dropped":
+                    yield b"".join(map(ids_of, text.replace("\n", " ").split(" ")))
+                    continue
+                first, *rest = [x.removeprefix(" ") if k else x for k, x in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" ")
+                yield self._piece(first) + b"".join(map(ids_of, rest))
+        finally:
+            gc.enable()
 
 
 def _byte_char(b: int) -> str:
