@@ -1,5 +1,66 @@
-"""The corpus pipeline."""
-STAGES = []
+"""A corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, packing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import decontaminate, language_id, line_dedup, near_dup, packing
+from tessella.llm.common import stored, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those without a letter, or far from all languages, go."""
+    model = language_id.fit(docs)
+    return language_id.identify(docs, model).where("NOT rejected").select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more are dropped; documents without anything left go."""
+    kept = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    out = kept.where("n_dropped = 0 OR length(btrim(text)) > 0")
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that are alike, the one with the smallest id stays."""
+    return near_dup.drop_near_duplicates(docs).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or a shorter item, go."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("spans") == 0).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of 2048 tokens, in the proportions that sources have."""
+    import public_tokenizers
+
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Language ID and tokens can't be had in SQL; tests compare the pipeline with a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
