@@ -155,18 +155,20 @@ def lane_keys(distinct: DataFrame, plans: list[Plan], hot: int = HOT) -> DataFra
 
 
 def _near(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, probes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of the same group (rows are sorted by it) that differ in so few bits, as stars."""
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    """Links between rows of the same group (rows are sorted by it) that differ in so few bits, as stars.
+
+    Rows that are connected already are not compared again, so that a group of copies costs little more than its size.
+    """
+    label = np.arange(len(group))
     at, d = np.arange(max(len(group) - 1, 0)), 1
     while len(at):
         at = at[group[at] == group[at + d]]
-        pair = at[(probes[at] | probes[at + d]) & (rep[at] != rep[at + d])]
+        pair = at[(label[at] != label[at + d]) & (probes[at] | probes[at + d]) & (rep[at] != rep[at + d])]
         near = pair[np.bitwise_count(fp[pair] ^ fp[pair + d]).sum(axis=1, dtype=np.int32) <= bits]
-        a.append(near)
-        b.append(near + d)
+        if len(near):
+            label = local_components(len(group), label[near], label[near + d])[label]
         d += 1
         at = at[at + d < len(group)]
-    label = local_components(len(group), np.concatenate(a), np.concatenate(b))
     moved = np.flatnonzero(label != np.arange(len(group)))
     return rep[moved], rep[label[moved]]
 
