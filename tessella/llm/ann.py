@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 #: Projections, and the standard deviations below the mean collision count that the threshold allows.
-PROJECTIONS = 64
-SLACK = 1.5
+PROJECTIONS = 40
+SLACK = 1.0
 
 #: A window's half-width, in radii: a vector at the radius collides in 68 % of the projections.
 HALF_WIDTH = 1.0
@@ -51,36 +51,49 @@ class Block:
         p = 2 * NormalDist().cdf(HALF_WIDTH) - 1
         self.enough = math.ceil(m * p - SLACK * math.sqrt(m * p * (1 - p)))
 
-    def search(self, own_id: int, q: np.ndarray, projected: np.ndarray, scale: float, k: int, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of found (ids, scores) and this block's rows. q: the query; projected: its unit vector's values."""
-        n, norm = len(self.ids), float(np.linalg.norm(q))
-        counts = np.zeros(n, np.int64)
-        checked = self.ids == own_id
-        low = high = None
-        ids, scores = found
-        radius = FIRST_RADIUS
-        while True:
-            if len(ids) >= k:  # nothing further than the k-th best is wanted
-                radius = max(radius, _distance(scores[k - 1], norm, scale))
-            reach = HALF_WIDTH * radius
-            new_low = np.array([np.searchsorted(v, p - reach) for v, p in zip(self.values, projected, strict=True)])
-            new_high = np.array([np.searchsorted(v, p + reach, "right") for v, p in zip(self.values, projected, strict=True)])
-            if low is None:
-                pieces = [o[a:b] for o, a, b in zip(self.order, new_low, new_high, strict=True)]
-            else:
-                pieces = [x for o, a, b, c, d in zip(self.order, new_low, low, high, new_high, strict=True) for x in (o[a:b], o[c:d])]
-            counts += np.bincount(np.concatenate(pieces), minlength=n)
-            low, high = new_low, new_high
-            rows = np.flatnonzero((counts >= self.enough) & ~checked)
-            if len(rows):
-                checked[rows] = True
-                ids, scores = best_of(np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, self.x[rows] @ q]), k)
-            if (len(ids) >= k and _distance(scores[k - 1], norm, scale) <= radius) or checked.all():
-                return ids, scores
-            radius *= GROWTH
-            if radius > 4:  # windows hold all rows by now
-                rows = np.flatnonzero(~checked)
-                return best_of(np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, self.x[rows] @ q]), k)
+    def search(self, q_ids: np.ndarray, q: np.ndarray, projected: np.ndarray, scale: float, k: int, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Puts this block's rows into found, the k best (ids, scores) of each query q; projected: their unit vectors' values.
+
+        All queries widen their windows in rounds; a query is done when its k-th best is no further than its radius.
+        """
+        n, norms = len(self.ids), np.linalg.norm(q, axis=1)
+        left = np.arange(len(q_ids))
+        radius = np.full(len(q_ids), FIRST_RADIUS)
+        counts: dict[int, np.ndarray] = {}
+        checked = {}
+        low = high = np.zeros((len(q_ids), len(self.values)), np.int64)
+        begun = False
+        while len(left):
+            for j in left.tolist():  # nothing further than the k-th best is wanted
+                if len(found[j][0]) >= k:
+                    radius[j] = max(radius[j], _distance(found[j][1][k - 1], norms[j], scale))
+            reach = HALF_WIDTH * radius[left]
+            new_low, new_high = (np.empty((len(q_ids), len(self.values)), np.int64) for _ in range(2))
+            for m, values in enumerate(self.values):
+                new_low[left, m] = np.searchsorted(values, projected[left, m] - reach)
+                new_high[left, m] = np.searchsorted(values, projected[left, m] + reach, "right")
+            going = []
+            for j in left.tolist():
+                if not begun:
+                    pieces = [o[a:b] for o, a, b in zip(self.order, new_low[j].tolist(), new_high[j].tolist(), strict=True)]
+                    count, seen = np.bincount(np.concatenate(pieces), minlength=n), self.ids == q_ids[j]
+                else:
+                    ends = zip(self.order, new_low[j].tolist(), low[j].tolist(), high[j].tolist(), new_high[j].tolist(), strict=True)
+                    pieces = [x for o, a, b, c, d in ends for x in (o[a:b], o[c:d])]
+                    count, seen = counts[j] + np.bincount(np.concatenate(pieces), minlength=n), checked[j]
+                rows = np.flatnonzero((count >= self.enough) & ~seen) if radius[j] <= 4 else np.flatnonzero(~seen)  # by 4, windows hold all rows
+                if len(rows):
+                    seen[rows] = True
+                    ids, scores = found[j]
+                    found[j] = best_of(np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, self.x[rows] @ q[j]]), k)
+                if not ((len(found[j][0]) >= k and _distance(found[j][1][k - 1], norms[j], scale) <= radius[j]) or radius[j] > 4):
+                    counts[j], checked[j] = count, seen
+                    going.append(j)
+                elif begun:
+                    counts.pop(j), checked.pop(j)
+            low, high, begun = new_low, new_high, True
+            left = np.array(going, np.int64)
+            radius[left] *= GROWTH
 
 
 def _distance(score: float, norm: float, scale: float) -> float:
@@ -90,6 +103,9 @@ def _distance(score: float, norm: float, scale: float) -> float:
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Largest scores first, ties to smaller ids."""
+    if len(ids) > 4 * k:  # keep what is no worse than the k-th
+        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[keep], scores[keep]
     order = np.lexsort((ids, -scores))[:k]
     return ids[order], scores[order]
 
@@ -163,8 +179,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
             def search() -> None:
                 block = Block(np.concatenate(ids), np.concatenate(rows), scale, directions)
-                for j in range(len(q_ids)):
-                    best[j] = block.search(q_ids[j], q[j], projected[j], scale, k, best[j])
+                for a in range(0, len(q_ids), 512):
+                    some, part = slice(a, a + 512), best[a : a + 512]
+                    block.search(q_ids[some], q[some], projected[some], scale, k, part)
+                    best[some] = part
 
             for batch in batches:
                 for a in range(0, batch.num_rows, block_rows):
