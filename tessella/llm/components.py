@@ -27,7 +27,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links: a, b (whole numbers, either order). Returns node and component, the least node of its component.
 
-    Nodes without links are not in the result. Each round is checkpointed in the shared folder; rounds end when
+    Nodes without links, and the least nodes themselves, are not in the result. Each round is checkpointed in the shared folder; rounds end when
     nothing changes, which takes about the logarithm of the longest chain. Null ends, loops and repeats are left out.
     """
     now = checkpointed(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
