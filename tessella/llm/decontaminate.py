@@ -126,7 +126,8 @@ def find_contamination(
     names = [c for c in docs.columns if c not in ("n_words", "spans", "items") and (keep_text or c != text_col)]
     out_schema = T.StructType([docs.schema[c] for c in names])
     out_schema = T.StructType(out_schema.fields + T._parse_datatype_string(_FOUND).fields) if names else T._parse_datatype_string(_FOUND)
-    frame = docs.select(*names, F.col(text_col).cast("binary").alias("_text"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+    own = [f"_{k}" for k in range(len(names))]  # whatever the columns are named
+    frame = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), F.col(text_col).cast("binary").alias("_text"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
     blocks = item_blocks(items, item_id_col, item_text_col, window, block_words)
     block = next(blocks, [])
     while True:
@@ -150,9 +151,9 @@ def find_contamination(
                 kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
                 new = [pa.array(spans, kind), pa.array(all_items, pa.list_(pa.string()))]
                 if last:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_words, pa.int64()), *new], [*names, "n_words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n_words, pa.int64()), *new], [*names, "n_words", "spans", "items"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("_text"), *new], [*names, "_text", "_spans", "_items"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), batch.column("_text"), *new], [*own, "_text", "_spans", "_items"])
 
         if last:
             return frame.mapInArrow(run, out_schema)

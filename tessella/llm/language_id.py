@@ -156,15 +156,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: b
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected") and (keep_text or c != text_col)]
 
+    own = [f"_{k}" for k in range(len(names))]  # whatever the columns are named
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, rejected = zip(*shared.value.predict(batch.column("_t").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"]
+                [*(batch.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"]
             )
 
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return docs.select(*names, F.col(text_col).alias("_t")).mapInArrow(run, T.StructType([docs.schema[c] for c in names] + new))
+    return docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), F.col(text_col).alias("_t")).mapInArrow(run, T.StructType([docs.schema[c] for c in names] + new))
 
 
 def fold(id_col: str, folds: int) -> Column:

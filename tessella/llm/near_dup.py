@@ -228,8 +228,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words:
     Rows with a null id stay. Of rows that share an id, one stays.
     """
     groups = checkpointed(near_duplicates(docs, similarity, words, id_col, text_col))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.alias("docs").join(gone.alias("gone"), F.col(f"docs.`{id_col}`") == F.col("gone.doc_id"), "left_anti")
     if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where(F.col(id_col).isNull()).union(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
     return kept
