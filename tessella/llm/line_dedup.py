@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii, table
+from .common import SPACES, checkpointed, lower_ascii, table
 
 WORD = 64  # lines for each word of a bitmap
 
+#: A line that over one in so many documents has is looked up by broadcast, so that its rows stay where they are. There
+#: are at most HOT_SHARE times as many such lines as a document has on average, however large the table.
+HOT_SHARE = 200
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -36,45 +40,48 @@ def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document that loses lines: _id, _version, drop (map from word to bits).
+    """For each document that loses lines: _id, _version, _drop (map from word to bits).
 
     Bit b of a word w stands for line 64 * w + b; words without a bit are left out, so that the bitmap's size follows
     the dropped lines. Lines go if their key is found in at least min_docs distinct ids (a null id counts as one id);
     keep_first leaves each such key's first occurrence by (id, position).
     """
-    at = line_occurrences(docs, id_col, text_col, min_chars)
+    at = checkpointed(line_occurrences(docs, id_col, text_col, min_chars))  # read several times below
     firsts = at.where("_nth = 1").groupBy("_hash")  # partial counts: a key's rows never meet in one task
     frequent = firsts.agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_version", "_at")).alias("_first")).where(F.col("_docs") >= min_docs)
-    gone = at.join(frequent.select("_hash", "_first"), "_hash")
+    limit = docs.count() / HOT_SHARE
+    hot = F.broadcast(frequent.where(F.col("_docs") > limit).select("_hash", "_first"))
+    rest = frequent.where(F.col("_docs") <= limit).select("_hash", "_first")
+    gone = at.join(hot, "_hash").unionByName(at.join(hot, "_hash", "left_anti").join(rest, "_hash"))
     if keep_first:
         gone = gone.where(~F.struct("_id", "_version", "_at").eqNullSafe(F.col("_first")))
     bit = F.expr(f"shiftleft(1L, cast(_at % {WORD} as int))")
     words = gone.groupBy("_id", "_version", F.floor(F.col("_at") / WORD).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return words.groupBy("_id", "_version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("drop"))
+    return words.groupBy("_id", "_version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("_drop"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all its columns, and _lines_in, _dropped (long) and _kept (text; null counts as empty)."""
     mine, version = _row_key(id_col, text_col)
-    m = bitmaps.select(F.col("_id").alias("_bid"), F.col("_version").alias("_bversion"), "drop")
+    m = bitmaps.select(F.col("_id").alias("_bid"), F.col("_version").alias("_bversion"), "_drop")
     both = docs.withColumns({"_rid": mine, "_rversion": version}).join(
         m, F.col("_rid").eqNullSafe(F.col("_bid")) & (F.col("_rversion") == F.col("_bversion")), "left"
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     n_words = F.ceil(F.size(lines) / WORD).cast("int")
-    words = F.transform(F.sequence(F.lit(0), n_words - 1), lambda w: F.coalesce(F.col("drop")[w], F.lit(0).cast("long")))
+    words = F.transform(F.sequence(F.lit(0), n_words - 1), lambda w: F.coalesce(F.col("_drop")[w], F.lit(0).cast("long")))
     flags = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.call_function("shiftright", w, b).bitwiseAND(F.lit(1)))))
     paired = F.zip_with(lines, flags, lambda x, f: F.struct(x.alias("x"), f.alias("f")))
     kept = F.transform(F.filter(paired, lambda p: p["x"].isNotNull() & (p["f"] == 0)), lambda p: p["x"])
-    dropped = F.aggregate(F.map_values("drop"), F.lit(0), lambda a, x: a + F.bit_count(x))
+    dropped = F.aggregate(F.map_values("_drop"), F.lit(0), lambda a, x: a + F.bit_count(x))
     return both.withColumns(
         {
             "_lines_in": (F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1).cast("long"),
             "_dropped": F.coalesce(dropped, F.lit(0)).cast("long"),
-            "_kept": F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "\n")),
+            "_kept": F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n")),
         }
-    ).drop("_rid", "_rversion", "_bid", "_bversion", "drop")
+    ).drop("_rid", "_rversion", "_bid", "_bversion", "_drop")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,12 +89,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
 
     A null or empty text is one empty line, which has no key and stays; a document all of whose lines go keeps an
     empty text. Lines are told apart by \\n alone. Rows that share an id count as one document; each is cut by its
-    own text. An empty table gives an empty table. Other columns stay as they are, whatever their names, except
-    those that start with an underscore and are named in this module.
+    own text. An empty table gives an empty table. Other columns stay as they are, whatever their names; own
+    n_lines and n_dropped are replaced.
     """
-    out = apply_bitmaps(docs, drop_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), id_col, text_col)
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return out.select(*others, F.col("_kept").alias(text_col), F.col("_lines_in").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+    slim = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.struct(*others).alias("_row") if others else F.lit(None).alias("_row"))
+    out = apply_bitmaps(slim, drop_bitmaps(slim, min_docs, min_chars, keep_first, "_i", "_t"), "_i", "_t")
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in others), F.col("_kept").alias(text_col), F.col("_lines_in").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
