@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in a generation of a worker's cache. When one is full, the last is forgotten, but for what was met again;
 #: that costs time, not results.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _MARKS = "[.,:;!?|]*"
@@ -110,7 +110,7 @@ class PieceEncoder:
         try:
             for text in texts:
                 if self.kind == "dropped":
-                    yield b"".join(map(ids_of, text.replace("\n", " ").split(" ")))
+                    yield b"".join(map(ids_of, _lowered(text).replace("\n", " ").split(" ")))
                     continue
                 first, *rest = [x.removeprefix(" ") if k else x for k, x in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" ")
                 yield self._piece(first) + b"".join(map(ids_of, rest))
@@ -118,6 +118,15 @@ class PieceEncoder:
             gc.enable()
 
 
+def _lowered(text: str) -> str:
+    """Lower-cased if all of it is Latin-1, where that is the same as the tokenizer's own; it spares pieces."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def _byte_char(b: int) -> str:
     """The letter that byte-level vocabularies write for a byte: printable Latin-1 stands for itself, others follow from U+0100 in order."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
