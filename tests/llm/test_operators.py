@@ -421,6 +421,16 @@ def test_log_filter():
     assert (f.probe(rng.integers(0, 2**63, 20000).astype(np.uint64)) > 0).mean() < 0.005
 
 
+def test_clashing_names(spark):
+    odd = ["doc_id", "text", "_i", "_t", "_row", "_text", "_spans", "_drop", "drop", "_kept", "_gone", "fp", "rep", "spans", "lang_pred", "_0", "a.b"]
+    df = spark.createDataFrame([(1, "same text\nand more", *["x"] * 15), (2, "same text\nthat is other", *["y"] * 15)], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in odd))
+    plain = df.select(*[c for c in odd if c != "a.b"])
+    assert line_dedup.dedup_lines(plain, min_docs=2).where("text <> 'same text' AND _kept IN ('x', 'y') AND n_dropped = 1").count() == 2
+    assert near_dup.drop_near_duplicates(plain).where("_gone IN ('x', 'y')").count() == 2
+    assert decontaminate.find_contamination(df, spark.createDataFrame([(1, "that is")], "item_id long, text string")).where("size(spans) = 1 AND `a.b` = 'y' AND _text = 'y'").count() == 1
+    assert language_id.identify(df, language_id.fit(df.withColumn("lang", common.F.lit("en")))).where("lang_pred = 'en' AND _t IN ('x', 'y')").count() == 2
+
+
 def test_shared_files(spark):
     out, path = common.stored(spark.range(5).toDF("x"), "kept")
     assert out.count() == 5
