@@ -22,9 +22,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more are dropped; documents without anything left go."""
-    kept = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
-    out = kept.where("n_dropped = 0 OR length(btrim(text)) > 0")
+    """Lines found in ten documents or more are dropped; a document that has no others, as a text of ten copies, stays whole for the next stage."""
+    out = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, whole_if_blank=True)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

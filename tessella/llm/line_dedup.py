@@ -84,17 +84,20 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     ).drop("_rid", "_rversion", "_bid", "_bversion", "_drop")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", whole_if_blank: bool = False) -> DataFrame:
     """docs without the lines of drop_bitmaps(), and n_lines, n_dropped (long).
 
     A null or empty text is one empty line, which has no key and stays; a document all of whose lines go keeps an
-    empty text. Lines are told apart by \\n alone. Rows that share an id count as one document; each is cut by its
+    empty text, or, by whole_if_blank, one that would be left with white space alone loses no line. Lines are told apart by \\n alone. Rows that share an id count as one document; each is cut by its
     own text. An empty table gives an empty table. Other columns stay as they are, whatever their names; own
     n_lines and n_dropped are replaced.
     """
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     slim = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.struct(*others).alias("_row") if others else F.lit(None).alias("_row"))
     out = apply_bitmaps(slim, drop_bitmaps(slim, min_docs, min_chars, keep_first, "_i", "_t"), "_i", "_t")
+    if whole_if_blank:
+        blank = (F.col("_dropped") > 0) & (F.length(F.btrim("_kept", F.lit(SPACES))) == 0)
+        out = out.withColumns({"_kept": F.when(blank, F.col("_t")).otherwise(F.col("_kept")), "_dropped": F.when(blank, F.lit(0).cast("long")).otherwise(F.col("_dropped"))})
     return out.select(*(F.col("_row").getField(c).alias(c) for c in others), F.col("_kept").alias(text_col), F.col("_lines_in").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
 
 

@@ -52,3 +52,18 @@ def test_stages(spark):
     assert all(sum(p.length for p in seen["packing"] if p.doc_id == i) == n for i, n in {(p.doc_id, p.doc_tokens) for p in seen["packing"]})
     want = sorted((p.doc_id, p.start, p.ids_crc32) for p in seen["packing"])
     assert sorted((p.doc_id, p.start, p.ids_crc32) for p in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+@pytest.mark.parametrize("gap", ["\n", "\n\n"])
+def test_copies_keep_one(spark, gap):
+    words = [f"{a}{b}" for a in ("river", "stone", "garden", "winter", "letter") for b in ("s", "like", "side", "less", "work")]
+    prose = gap.join(" ".join(words[k:] + words[:k]) for k in range(6))
+    texts = [prose] * 12 + [" ".join(words[k:] + words[::-1]) + "\nSubscribe now" for k in range(12)] + ["Subscribe now", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    lines, _ = stored(corpus_pipeline.line_stage(spark, docs, SF), "lines")
+    got = {r.doc_id: r for r in lines.collect()}
+    assert all(got[i].text == prose and got[i].n_chars == len(prose) for i in range(12))
+    assert all(got[i].text == texts[i].split("\n")[0] and got[i].n_chars == len(got[i].text) for i in range(12, 24))
+    assert got[24].text == "Subscribe now"
+    left = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, lines, SF).collect()]
+    assert [i for i in left if i < 12] == [0] and 24 in left
