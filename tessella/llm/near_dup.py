@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, n_partitions
 from .components import components
-from .simhash import BITS, PARTS, Plan, group_bits, local_components, masks, part_value, shingle_hashes
+from .simhash import BITS, PARTS, Plan, group_bits, local_components, masks, part_value, shingle_hashes, within
 
 WORDS = 5
 
@@ -24,9 +24,11 @@ LANE_DISTANCE = 3
 #: Similarity that links: shingle sets of this Jaccard index differ in about SHARE of the bits, by the angle between them.
 SIMILARITY = 0.8
 
-#: Documents that share a part's value, beyond which they are compared in groups of about this size, each with the same leaders.
+#: Rows of a part's value, beyond which they are compared block by block; blocks have about this size.
 HOT = 4_000
-LEADERS = 500
+
+#: Rows of a group, beyond which each row that probes is compared with all others at once.
+WIDE = 256
 
 _MIX = np.array([0xFFFFFFFFFFFFFFFF & (0x9E3779B97F4A7C15 * (2 * k + 1)) for k in range(LANES)], np.uint64)
 
@@ -111,56 +113,138 @@ def _scatter(rep: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) >> np.uint64(11)
 
 
-def lane_keys(distinct: DataFrame, plans: list[Plan], hot: int = HOT) -> DataFrame:
+def _places(plans: list[Plan], m: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """kind (lane and part), keys, rows of m and whether they probe there, own places before a part's probes: each row's place in every part of every lane, and its probes."""
+    every = np.arange(len(m))
+    for k, plan in enumerate(plans):
+        v = [part_value(m[:, k], g) for g in plan.parts]
+        t = plan.thresholds(v)
+        for p, bits in enumerate(plan.parts):
+            kind = k * len(plan.parts) + p
+            yield kind, v[p], every, t[p] >= 0
+            for r in range(1, plan.distance + 1):
+                some = np.flatnonzero(t[p] >= r)
+                for mask in masks(len(bits), r)[r] if len(some) else ():
+                    go = some[plan.counts[p][v[p][some] ^ mask] > 0]
+                    if len(go):
+                        yield kind, v[p][go] ^ mask, go, np.ones(len(go), bool)
+
+
+def lane_crowds(distinct: DataFrame, plans: list[Plan], hot: int = HOT) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By kind: the keys (ascending) that have more than hot rows, all their rows, and those of them that probe."""
+    width = len(plans[0].counts[0])
+    own = np.stack([c for p in plans for c in p.counts]).ravel()
+    near = np.concatenate([within(c, len(g), p.distance)[p.distance] for p in plans for c, g in zip(p.counts, p.parts, strict=True)])
+    maybe = near > hot  # the most that own rows and probes can be
+    if not maybe.any():
+        return {}
+    shared = distinct.sparkSession.sparkContext.broadcast(([(p.distance, p.parts, p.counts) for p in plans], np.packbits(maybe)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = [Plan.of(*x) for x in shared.value[0]]
+        maybe = np.unpackbits(shared.value[1]).astype(bool)
+        foreign, probing = np.zeros(len(maybe), np.int64), np.zeros(len(maybe), np.int64)
+        for batch in batches:
+            last = -1
+            for kind, key, _, probes in _places(plans, _matrix(batch.column("fp"))):
+                np.add.at(probing, kind * width + key[probes], 1)
+                if kind == last:  # after the own places
+                    np.add.at(foreign, kind * width + key, 1)
+                last = kind
+        at = np.flatnonzero(maybe & (probing > 0))
+        for a in range(0, len(at), 1 << 16):
+            some = at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(foreign[some]), pa.array(probing[some])], ["at", "f", "n"])
+
+    summed = distinct.select("fp").mapInArrow(run, "at long, f long, n long").groupBy("at").agg(F.sum("f").alias("f"), F.sum("n").alias("n")).toArrow()
+    rows, probing = own.copy(), np.zeros(len(own), np.int64)
+    rows[summed.column("at").to_numpy()] += summed.column("f").to_numpy()
+    probing[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
+    at = np.flatnonzero(rows > hot)
+    return {int(k): (at[at // width == k] % width, rows[at[at // width == k]], probing[at[at // width == k]]) for k in np.unique(at // width)}
+
+
+def lane_keys(distinct: DataFrame, plans: list[Plan], hot: int = HOT, crowds: dict | None = None) -> DataFrame:
     """kind (lane and part), key, sub, rep, fp, probes: each document's place in every part of every lane, and its probes.
 
-    sub is 0, but for values that more than hot documents have: there a document has the group that its id hashes to,
-    and some leaders, picked by hash, are in all groups, so that groups of the same texts are connected by them.
+    sub is 0, but for values that more than hot rows have (lane_crowds(), found here if not given). There the rows form
+    blocks by a hash of the id, and those that probe form blocks of their own, and sub is a block of rows with a block
+    of probing ones: every pair of which one probes meets in one such cell at least. Values without a probe have no rows.
     """
-    shared = distinct.sparkSession.sparkContext.broadcast([(p.distance, p.parts, p.counts) for p in plans])
+    crowds = lane_crowds(distinct, plans, hot) if crowds is None else crowds
+    shared = distinct.sparkSession.sparkContext.broadcast(([(p.distance, p.parts, p.counts) for p in plans], crowds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans = [Plan.of(*x) for x in shared.value]
-        flips = [[masks(len(g), 1) for g in p.parts] for p in plans]
-
-        def rows(kind: int, key: np.ndarray, counts: np.ndarray, at: np.ndarray, rep: np.ndarray, fp: pa.Array, probes: np.ndarray) -> pa.RecordBatch:
-            groups = -(-counts[key] // hot)
-            spot = _scatter(rep[at])
-            sub = np.where(groups > 1, (spot % np.maximum(groups, 1).astype(np.uint64)).astype(np.int64), 0)
-            leads = np.flatnonzero((groups > 1) & (spot.astype(np.float64) / (1 << 53) < LEADERS / np.maximum(counts[key], 1)))
-            if len(leads):
-                more = [(i, s) for i in leads.tolist() for s in range(groups[i]) if s != sub[i]]
-                i, s = np.array(more, np.int64).reshape(-1, 2).T
-                key, at, probes, sub = np.concatenate([key, key[i]]), np.concatenate([at, at[i]]), np.concatenate([probes, probes[i]]), np.concatenate([sub, s])
-            n = len(key)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.array(sub), pa.array(rep[at]), fp.take(pa.array(at)), pa.array(probes)], ["kind", "key", "sub", "rep", "fp", "probes"])
+        plans, crowds = [Plan.of(*x) for x in shared.value[0]], shared.value[1]
+
+        def dealt(kind: int, key: np.ndarray, at: np.ndarray, spot: np.ndarray, probes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+            if kind not in crowds:
+                yield key, np.zeros(len(key), np.int64), at, probes
+                return
+            keys, rows, probing = crowds[kind]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            full = keys[place] == key
+            yield key[~full], np.zeros(int((~full).sum()), np.int64), at[~full], probes[~full]
+            key, at, probes, place = key[full], at[full], probes[full], place[full]
+            high, wide = -(-rows[place] // hot), -(-probing[place] // hot)
+            i, j = (spot[at] % high.astype(np.uint64)).astype(np.int64), ((spot[at] >> np.uint64(27)) % np.maximum(wide, 1).astype(np.uint64)).astype(np.int64)
+            step = max(1, (1 << 16) // int((high + wide).max(initial=1)))
+            for a in range(0, len(key), step):
+                some = np.arange(a, min(a + step, len(key)))
+                for times, among in ((wide, some), (high, some[probes[some]])):
+                    x = np.repeat(among, times[among])
+                    nth = np.arange(len(x)) - np.repeat(np.cumsum(times[among]) - times[among], times[among])
+                    if times is wide:  # as a row: with every block of probing ones
+                        yield key[x], i[x] * wide[x] + nth, at[x], probes[x] & (nth == j[x])
+                    else:  # as one that probes: with every other block of rows
+                        x, nth = x[nth != i[x]], nth[nth != i[x]]
+                        yield key[x], nth * wide[x] + j[x], at[x], np.ones(len(x), bool)
 
         for batch in batches:
             fp, rep = batch.column("fp"), batch.column("rep").to_numpy(zero_copy_only=False)
-            m, every = _matrix(fp), np.arange(batch.num_rows)
-            for k, plan in enumerate(plans):
-                v = [part_value(m[:, k], g) for g in plan.parts]
-                t = plan.thresholds(v)
-                for p in range(len(plan.parts)):
-                    kind = k * len(plan.parts) + p
-                    yield rows(kind, v[p], plan.counts[p], every, rep, fp, t[p] >= 0)
-                    for r in range(1, plan.distance + 1):
-                        some = np.flatnonzero(t[p] >= r)
-                        for mask in (masks(len(plan.parts[p]), r)[r] if r > 1 else flips[k][p][1]) if len(some) else ():
-                            go = some[plan.counts[p][v[p][some] ^ mask] > 0]
-                            if len(go):
-                                yield rows(kind, v[p][go] ^ mask, plan.counts[p], go, rep, fp, np.ones(len(go), bool))
+            spot = _scatter(rep)
+            for kind, *place in _places(plans, _matrix(fp)):
+                for key, sub, at, probes in dealt(kind, place[0], place[1], spot, place[2]):
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(sub), pa.array(rep[at]), fp.take(pa.array(at)), pa.array(probes)], ["kind", "key", "sub", "rep", "fp", "probes"])
 
     return distinct.mapInArrow(run, "kind int, key long, sub long, rep long, fp binary, probes boolean")
 
 
+def _near_wide(fp: np.ndarray, rep: np.ndarray, probes: np.ndarray, bits: int) -> np.ndarray:
+    """The least index that each row of one group can reach over links as those of _near().
+
+    Half of the lanes, which are in more than bits already for most pairs, decide which pairs are looked at in full.
+    """
+    lanes = np.ascontiguousarray(fp.T)
+    label, who = np.arange(len(fp)), np.flatnonzero(probes)
+    step = max(1, (1 << 18) // len(fp))
+    for a in range(0, len(who), step):
+        some = who[a : a + step]
+        d = np.zeros((len(some), len(fp)), np.uint16)
+        for lane in lanes[: LANES // 2]:
+            d += np.bitwise_count(lane[some, None] ^ lane)
+        i, j = np.nonzero(d <= bits)
+        i = some[i]
+        open_ = (label[i] != label[j]) & (rep[i] != rep[j])
+        i, j = i[open_], j[open_]
+        near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int32) <= bits
+        if near.any():
+            label = local_components(len(fp), label[i[near]], label[j[near]])[label]
+    return label
+
+
 def _near(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, probes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of the same group (rows are sorted by it) that differ in so few bits, as stars.
 
     Rows that are connected already are not compared again, so that a group of copies costs little more than its size.
     """
     label = np.arange(len(group))
-    at, d = np.arange(max(len(group) - 1, 0)), 1
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(starts, append=len(group))
+    for a, n in zip(starts[sizes > WIDE].tolist(), sizes[sizes > WIDE].tolist(), strict=True):
+        label[a : a + n] = a + _near_wide(fp[a : a + n], rep[a : a + n], probes[a : a + n], bits)
+    at, d = np.flatnonzero(np.repeat(sizes <= WIDE, sizes)[:-1]), 1
     while len(at):
         at = at[group[at] == group[at + d]]
         pair = at[(label[at] != label[at + d]) & (probes[at] | probes[at + d]) & (rep[at] != rep[at + d])]
@@ -203,7 +287,7 @@ def lane_links(keys: DataFrame, bits: int, n: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, component_id of every row with an id: the smallest id of those that links reach.
 
     Texts with equal fingerprints are linked, empty ones among them. Others are if their fingerprints differ in no more
@@ -213,8 +297,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     prints = checkpointed(lane_fingerprints(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = distinct.count()
-    keys = lane_keys(distinct, lane_plans(distinct))
-    links = lane_links(keys, most_bits(similarity), n_partitions(distinct, n * LANES * PARTS, 500_000))
+    plans = lane_plans(distinct)
+    crowds = lane_crowds(distinct, plans, hot)
+    more = sum(int((rows * -(-probing // hot) + probing * -(-rows // hot)).sum()) for _, rows, probing in crowds.values())
+    links = lane_links(lane_keys(distinct, plans, hot, crowds), most_bits(similarity), n_partitions(distinct, n * LANES * PARTS + more, 500_000))
     several = prints.groupBy("doc_id").agg(F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).where("_lo <> _hi").select("doc_id")
     same_id = prints.join(several, "doc_id", "left_semi").join(distinct, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(same_id)).select(F.col("node").alias("rep"), "component")
