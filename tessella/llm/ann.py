@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 #: Projections, and the standard deviations below the mean collision count that the threshold allows.
-PROJECTIONS = 40
-SLACK = 1.0
+PROJECTIONS = 64
+SLACK = 1.5
 
 #: A window's half-width, in radii: a vector at the radius collides in 68 % of the projections.
 HALF_WIDTH = 1.0

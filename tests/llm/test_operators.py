@@ -127,6 +127,24 @@ def test_nearest(spark):
     assert ann.nearest(v.where("false"), v, k=10).count() == 0 and ann.nearest(v, v.where("false"), k=10).count() == 0
 
 
+def unclustered_recall(n, projections=ann.PROJECTIONS):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, scale, found = x[:40], 1 + 1e-9, [(np.empty(0, np.int64), np.empty(0))] * 40
+    directions = np.random.default_rng(ann.SEED).standard_normal((65, projections))
+    for a in range(0, n, ann.BLOCK_ROWS):
+        ann.Block(np.arange(a, min(a + ann.BLOCK_ROWS, n)), x[a : a + ann.BLOCK_ROWS], scale, directions).search(np.arange(40), q, q @ directions[:-1], scale, 20, found)
+    s = q @ x.T
+    s[np.arange(40), np.arange(40)] = -np.inf
+    best = np.argpartition(-s, 20, axis=1)[:, :20]
+    return sum(len(set(b.tolist()) & set(ids.tolist())) for b, (ids, _) in zip(best, found, strict=True)) / 800
+
+
+def test_recall_without_clusters():
+    assert unclustered_recall(65_536) >= 0.96
+
+
 # 4
 
 
