@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from plain import contamination
 
@@ -67,3 +68,32 @@ def test_copies_keep_one(spark, gap):
     assert got[24].text == "Subscribe now"
     left = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, lines, SF).collect()]
     assert [i for i in left if i < 12] == [0] and 24 in left
+
+
+def test_near_duplicates_against_shingle_sets(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    for level, j in enumerate((0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)):
+        lost = int(396 * (1 - j) / (1 + j))  # shingles of 400 words
+        for k in range(40):
+            words = [f"w{x}" for x in rng.integers(0, 20_000, 400)]
+            at = int(rng.integers(5, 390 - lost))
+            i = 100 * level + k
+            texts[i] = " ".join(words)
+            words[at : at + lost - 4] = [f"n{x}" for x in rng.integers(0, 20_000, lost - 4)]
+            texts[1000 + i] = " ".join(words)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    shares = []
+    for low, high in ((0.55, 0.675), (0.675, 0.775), (0.8, 0.825), (0.845, 1)):
+        found = [group[a] == group[b] for (a, b), j in alike.items() if low <= j < high]
+        shares.append(sum(found) / len(found))
+    few, some, most, all_ = shares
+    assert few <= 0.3 and most >= 0.85 and all_ >= 0.99, shares
+    left = {r.doc_id for r in near_dup.drop_near_duplicates(docs).collect()}
+    gone = texts.keys() - left
+    best = {i: max((j for p, j in alike.items() if i in p), default=0) for i in gone}
+    assert all(j >= 0.55 for j in best.values())  # nothing goes without a text like it
+    assert sum(j < 0.675 for j in best.values()) <= 0.3 * 80, best
