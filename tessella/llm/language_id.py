@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -86,18 +88,48 @@ class Model:
                     yield self.languages[k], min(max(x, 0.0), 1.0), bool(x < self.floors[k])
 
 
-def clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+@dataclass
+class Sparse:
+    """Rows of a matrix of DIMS columns: of each, the buckets and their values."""
+
+    at: np.ndarray
+    value: np.ndarray
+    starts: np.ndarray  # of each row, none of which is empty
+
+    @classmethod
+    def of(cls, rows: list[tuple[bytes, bytes]], idf: np.ndarray) -> Sparse:
+        """Unit TF-IDF rows of buckets and counts."""
+        sizes = [len(b) // 2 for b, _ in rows]
+        at = np.frombuffer(b"".join(b for b, _ in rows), "<u2")
+        starts = np.cumsum([0, *sizes[:-1]])
+        value = np.log1p(np.frombuffer(b"".join(n for _, n in rows), "<u4").astype(np.float32)) * idf[at]
+        return cls(at, value / np.repeat(np.sqrt(np.add.reduceat(value * value, starts)), sizes), starts)
+
+    def dot(self, centre: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.value * centre[self.at], self.starts)
+
+    def sums(self, among: np.ndarray) -> np.ndarray:
+        """The sum of the rows marked."""
+        on = np.repeat(among, np.diff(self.starts, append=len(self.at)))
+        return np.bincount(self.at[on], weights=self.value[on], minlength=DIMS).astype(np.float32)
+
+
+def clusters(x: Sparse, k: int, rounds: int) -> np.ndarray:
     """Spherical k-means of unit rows; starts from the row nearest the mean, then from rows far from all so far."""
-    first = int((x @ x.mean(axis=0)).argmax())
-    chosen = [first]
-    near = x @ x[first]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    centres = x[chosen]
+    n = len(x.starts)
+
+    def row(i: int) -> np.ndarray:
+        return x.sums(np.arange(n) == i)
+
+    first = row(int(x.dot(x.sums(np.ones(n, bool))).argmax()))
+    chosen, near = [first], x.dot(first)
+    while len(chosen) < min(k, n):
+        chosen.append(row(int(near.argmin())))
+        near = np.maximum(near, x.dot(chosen[-1]))
+    centres = np.stack(chosen)
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[own == j].sum(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
+        own = np.stack([x.dot(c) for c in centres]).argmax(axis=0)
+        sums = np.stack([x.sums(own == j) if (own == j).any() else c for j, c in enumerate(centres)])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centres
 
@@ -106,14 +138,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Fits on labelled rows: all, or a sample by hash of the id, so that there are about sample_rows of them and never more.
 
     Null labels and texts without a letter teach nothing. Without labelled rows the model knows no language and calls
-    every text unknown.
+    every text unknown. Of more languages than sample_rows, the most frequent ones are learnt.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col)).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(sample_rows).collect()}
     each = sample_rows // max(1, len(counts))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 0.9 * each / n) if n > each else 1.0)).otherwise(share)
+    shares = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 0.9 * each / n) if n > each else 1.0)]
+    share = F.coalesce(F.create_map(*shares)[F.col(lang_col)], F.lit(0.0)) if shares else F.lit(0.0)
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1_000_000)) / 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,20 +159,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(buckets, pa.binary()), pa.array(numbers, pa.binary())], ["l", "b", "n"])
 
     chosen = labelled.where(place < share).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    rows = sorted((r.l, bytes(r.b), bytes(r.n)) for r in chosen.mapInArrow(run, "l string, b binary, n binary").limit(sample_rows).collect())
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, (_, b, n) in enumerate(rows):
-        x[i, np.frombuffer(b, "<u2")] = np.frombuffer(n, "<u4")
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    found = chosen.mapInArrow(run, "l string, b binary, n binary").limit(sample_rows).toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("l", "b", "n")), strict=True))
+    frequency = np.bincount(np.frombuffer(b"".join(r[1] for r in rows), "<u2"), minlength=DIMS)
+    idf = np.log((1 + len(rows)) / (1 + frequency)).astype(np.float32) + 1
     model = Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), idf)
-    x = model.vectors(x)
     languages, centroids, floors = [], [], []
-    for lang in sorted({r[0] for r in rows}):
-        own = x[[i for i, r in enumerate(rows) if r[0] == lang]]
+    for lang, group in groupby(rows, key=itemgetter(0)):
+        own = Sparse.of([r[1:] for r in group], idf)
         centres = clusters(own, k, ROUNDS)
         languages += [lang] * len(centres)
         centroids.append(centres)
-        floors += [reject * float((own @ centres.T).max(axis=1).min())] * len(centres)
+        floors += [reject * float(np.stack([own.dot(c) for c in centres]).max(axis=0).min())] * len(centres)
     if languages:
         model = Model(languages, np.concatenate(centroids), np.array(floors), idf)
     return model

@@ -216,19 +216,20 @@ def test_hot_values_lose_no_pair(spark):
     values = rng.integers(0, 1 << 16, (32, 4))  # four for each part, each of about 2,000 documents
     base = values[np.arange(32), rng.integers(0, 4, (8000, 32))].astype("<u2")
     flips = np.where(rng.random((1000, 32)).argsort(axis=1) < 11, 0b10010101010010, 0).astype("<u2")  # so many that a part's value is out of reach
-    rows = [(x.tobytes(), k) for k, x in enumerate(np.concatenate([base, base[:1000] ^ flips]))]
-    distinct = spark.createDataFrame(rows, "fp binary, rep long").dropDuplicates(["fp"]).localCheckpoint()
-    seen = np.array([np.frombuffer(x, "<u2") for x, _ in rows]).reshape(-1, 8, 4)
+    rows = [(x.tobytes(), k, k) for k, x in enumerate(np.concatenate([base, base[:1000] ^ flips]))]
+    distinct = common.checkpointed(spark.createDataFrame(rows, "fp binary, rep long, label long").dropDuplicates(["fp"]))
+    seen = np.array([np.frombuffer(x, "<u2") for x, _, _ in rows]).reshape(-1, 8, 4)
     parts = [list(range(16 * p, 16 * p + 16)) for p in range(4)]
     plans = [sim.Plan.of(3, parts, [np.bincount(seen[:, k, p], minlength=1 << 16) for p in range(4)]) for k in range(8)]
 
-    def linked(hot):
-        links = near_dup.lane_links(near_dup.lane_keys(distinct, plans, hot), near_dup.most_bits(0.8), 8).collect()
-        return least_reachable({k for _, k in rows}, [(r.a, r.b) for r in links])
+    def linked(hot, **how):
+        links = near_dup.lane_candidates(near_dup.lane_keys(distinct, plans, hot), near_dup.most_bits(0.8, slack=1.4), 8, **how).collect()
+        return least_reachable({k for _, k, _ in rows}, [(r.a, r.b) for r in links])
 
     want = linked(10**9)
     assert sum(want[8000 + k] == want[k] for k in range(1000)) > 900 and len(set(want.values())) > 7500
     assert linked(700) == want
+    assert linked(700, forest=False) == want and linked(10**9, forest=False) == want
 
 
 # 5
