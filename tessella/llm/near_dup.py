@@ -88,8 +88,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1) if len(column) else np.empty((0, LANES), np.uint64)
 
 
-def lane_plans(distinct: DataFrame, distance: int = LANE_DISTANCE, parts: int = PARTS) -> list[Plan]:
-    """A plan for each lane, from bit correlations and part histograms of all distinct fingerprints; all of fixed size."""
+#: Of a lane: distance, parts, and fingerprints by value of each part; Plan.of() makes a plan of it where one is needed.
+Lane = tuple[int, list[list[int]], list[np.ndarray]]
+
+
+def _summed(rows: DataFrame, size: int) -> dict[int, np.ndarray]:
+    """By kind: the sums of counts that tasks give for some places (kind, some, at and n as lists of 32-bit numbers)."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        at, n = (np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows.column(c)]) for c in ("at", "n"))
+        total = np.bincount(at, weights=n, minlength=size)
+        at = np.flatnonzero(total)
+        first = rows.slice(0, 1)
+        return pa.table({"kind": first.column("kind"), "some": first.column("some"), "at": pa.array([at.astype("<u4").tobytes()], pa.binary()), "n": pa.array([total[at].astype("<u4").tobytes()], pa.binary())})
+
+    kinds = rows.groupBy("kind", "some").applyInArrow(merge, _COUNTS).groupBy("kind").applyInArrow(merge, _COUNTS)
+    out = {}
+    for r in kinds.toLocalIterator():
+        out[r.kind] = np.zeros(size, np.uint32)
+        out[r.kind][np.frombuffer(bytes(r["at"]), "<u4")] = np.frombuffer(bytes(r["n"]), "<u4")
+    return out
+
+
+_COUNTS = "kind int, some int, at binary, n binary"
+
+
+def _count_rows(counts: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+    """A row for each kind that has counts, one of 64 groups of tasks."""
+    for kind, c in enumerate(counts):
+        if len(at := np.flatnonzero(c)):
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([c[at].astype("<u4").tobytes()], pa.binary())], ["kind", "some", "at", "n"])
+
+
+def lane_plans(distinct: DataFrame, distance: int = LANE_DISTANCE, parts: int = PARTS) -> list[Lane]:
+    """What a plan for each lane takes, from bit correlations and part histograms of all distinct fingerprints; all of fixed size."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((LANES, BITS, BITS), np.int64)
@@ -103,28 +135,23 @@ def lane_plans(distinct: DataFrame, distance: int = LANE_DISTANCE, parts: int =
 
     n = distinct.count()
     together = np.zeros(LANES * BITS * BITS, np.int64)
-    for r in distinct.select("fp").mapInArrow(pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        together[r.at] = r.n
+    for r in distinct.select("fp").mapInArrow(pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        together[r["at"]] = r.n
     groups = [group_bits(t, n, parts) for t in together.reshape(LANES, BITS, BITS)]
     width = 1 << (BITS // parts)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((LANES * parts, width), np.int64)
+        counts, part = np.zeros((LANES * parts, width), np.uint32), 0
         for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
             m = _matrix(batch.column("fp"))
             for k in range(LANES):
                 for p, g in enumerate(groups[k]):
-                    counts[k * parts + p] += np.bincount(part_value(m[:, k], g), minlength=width)
-        at = np.flatnonzero(counts.ravel())
-        for a in range(0, len(at), 1 << 16):
-            some = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts.ravel()[some])], ["at", "n"])
+                    counts[k * parts + p] += np.bincount(part_value(m[:, k], g), minlength=width).astype(np.uint32)
+        yield from _count_rows(counts, part)
 
-    counts = np.zeros(LANES * parts * width, np.int64)
-    summed = distinct.select("fp").mapInArrow(values, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
-    counts = counts.reshape(LANES, parts, width)
-    return [Plan.of(distance, groups[k], list(counts[k])) for k in range(LANES)]
+    counts = _summed(distinct.select("fp", F.spark_partition_id().alias("part")).mapInArrow(values, _COUNTS), width)
+    return [(distance, groups[k], [counts.get(k * parts + p, np.zeros(width, np.uint32)) for p in range(parts)]) for k in range(LANES)]
 
 
 def _scatter(rep: np.ndarray) -> np.ndarray:
@@ -149,49 +176,46 @@ def _places(plans: list[Plan], m: np.ndarray) -> Iterator[tuple[int, np.ndarray,
                         yield kind, v[p][go] ^ mask, go, np.ones(len(go), bool)
 
 
-def lane_crowds(distinct: DataFrame, plans: list[Plan], hot: int = HOT) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def lane_crowds(distinct: DataFrame, lanes: list[Lane], hot: int = HOT) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By kind: the keys (ascending) that have more than hot rows, all their rows, and those of them that probe."""
-    width = len(plans[0].counts[0])
-    own = np.stack([c for p in plans for c in p.counts]).ravel()
-    near = np.concatenate([within(c, len(g), p.distance)[p.distance] for p in plans for c, g in zip(p.counts, p.parts, strict=True)])
-    maybe = near > hot  # the most that own rows and probes can be
-    if not maybe.any():
+    counts = [c for _, _, counts in lanes for c in counts]
+    reach = [(len(g), d) for d, parts, _ in lanes for g in parts]
+    maybe = [np.packbits(within(c, bits, d)[d] > hot) for c, (bits, d) in zip(counts, reach, strict=True)]  # own rows and probes can be no more
+    if not any(m.any() for m in maybe):
         return {}
-    shared = distinct.sparkSession.sparkContext.broadcast(([(p.distance, p.parts, p.counts) for p in plans], np.packbits(maybe)))
+    shared = distinct.sparkSession.sparkContext.broadcast((lanes, maybe))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans = [Plan.of(*x) for x in shared.value[0]]
-        maybe = np.unpackbits(shared.value[1]).astype(bool)
-        foreign, probing = np.zeros(len(maybe), np.int64), np.zeros(len(maybe), np.int64)
+    def run(batches: Iterator[pa.RecordBatch], what: int) -> Iterator[pa.RecordBatch]:
+        plans, maybe, part = [Plan.of(*x) for x in shared.value[0]], [np.unpackbits(m).astype(bool) for m in shared.value[1]], 0
+        found = np.zeros((len(maybe), len(maybe[0])), np.uint32)
         for batch in batches:
-            last = -1
+            part, last = batch.column("part")[0].as_py() if batch.num_rows else part, -1
             for kind, key, _, probes in _places(plans, _matrix(batch.column("fp"))):
-                np.add.at(probing, kind * width + key[probes], 1)
-                if kind == last:  # after the own places
-                    np.add.at(foreign, kind * width + key, 1)
+                some = key[probes] if what else key if kind == last else key[:0]  # all that probe, or what comes after the own places
+                np.add.at(found[kind], some[maybe[kind][some]], 1)
                 last = kind
-        at = np.flatnonzero(maybe & (probing > 0))
-        for a in range(0, len(at), 1 << 16):
-            some = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(foreign[some]), pa.array(probing[some])], ["at", "f", "n"])
+        yield from _count_rows(found, part)
 
-    summed = distinct.select("fp").mapInArrow(run, "at long, f long, n long").groupBy("at").agg(F.sum("f").alias("f"), F.sum("n").alias("n")).toArrow()
-    rows, probing = own.copy(), np.zeros(len(own), np.int64)
-    rows[summed.column("at").to_numpy()] += summed.column("f").to_numpy()
-    probing[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
-    at = np.flatnonzero(rows > hot)
-    return {int(k): (at[at // width == k] % width, rows[at[at // width == k]], probing[at[at // width == k]]) for k in np.unique(at // width)}
+    rows = distinct.select("fp", F.spark_partition_id().alias("part"))
+    foreign, probing = (_summed(rows.mapInArrow(lambda batches, what=what: run(batches, what), _COUNTS), len(counts[0])) for what in (0, 1))
+    out = {}
+    for kind, c in enumerate(counts):
+        total = c + foreign.get(kind, np.uint32(0))
+        at = np.flatnonzero((total > hot) & np.unpackbits(maybe[kind]).astype(bool))
+        if len(at):
+            out[kind] = at, total[at].astype(np.int64), probing.get(kind, np.zeros(len(c), np.uint32))[at].astype(np.int64)
+    return out
 
 
-def lane_keys(distinct: DataFrame, plans: list[Plan], hot: int = HOT, crowds: dict | None = None) -> DataFrame:
+def lane_keys(distinct: DataFrame, lanes: list[Lane], hot: int = HOT, crowds: dict | None = None) -> DataFrame:
     """kind (lane and part), key, sub, rep, label, fp (compared lanes), probes: each document's place in every part of every lane, and its probes.
 
     sub is 0, but for values that more than hot rows have (lane_crowds(), found here if not given). There the rows form
     blocks by a hash of the id, and those that probe form blocks of their own, and sub is a block of rows with a block
     of probing ones: every pair of which one probes meets in one such cell at least. Values without a probe have no rows.
     """
-    crowds = lane_crowds(distinct, plans, hot) if crowds is None else crowds
-    shared = distinct.sparkSession.sparkContext.broadcast(([(p.distance, p.parts, p.counts) for p in plans], crowds))
+    crowds = lane_crowds(distinct, lanes, hot) if crowds is None else crowds
+    shared = distinct.sparkSession.sparkContext.broadcast((lanes, crowds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans, crowds = [Plan.of(*x) for x in shared.value[0]], shared.value[1]
