@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -18,11 +19,22 @@ from .components import components
 BITS = 64
 SEED = 42
 
-#: Parts that the bits are grouped into; a part's histogram has 2 ** (64 / PARTS) counts.
+#: Parts that the bits can be grouped into; what costs least by the histograms is taken, so that parts widen with the table.
+PART_OPTIONS = (4, 3, 2)
+
+#: Parts of a lane of near_dup.
 PARTS = 4
 
-#: Fingerprints that share a part's value beyond this are linked by midpoints instead, whose groups are never large.
-HOT = 2_000
+#: Bits of a part's value that its histogram is kept by; of wider parts, counts are estimated.
+HISTOGRAM_BITS = 16
+
+#: Comparisons that take as long as a row that is dealt out.
+ROW_COST = 64
+
+#: Fingerprints that share a part's value beyond this (and beyond one in HOT_VALUES of all, so that there are no more such
+#: values of a part) are linked by midpoints instead, whose groups are never large.
+HOT = 20_000
+HOT_VALUES = 1 << 19
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -106,18 +118,37 @@ class Plan:
 
     distance: int
     parts: list[list[int]]
-    counts: list[np.ndarray]  # by part: fingerprints by value
-    cost: list[np.ndarray]  # by part: [threshold + 1, value], probes and candidates
+    counts: list[np.ndarray]  # by part: fingerprints by the low bits of its value, as many as the histogram has
+    cost: list[np.ndarray]  # by part: [threshold + 1, low bits], probes and candidates
 
     @classmethod
-    def of(cls, distance: int, parts: list[list[int]], counts: list[np.ndarray]) -> Plan:
+    def of(cls, distance: int, parts: list[list[int]], counts: list[np.ndarray], row_cost: float = 1.0) -> Plan:
         cost = []
         for bits, c in zip(parts, counts, strict=True):
-            near = within(c, len(bits), distance)
-            probes = np.cumsum([sum(1 for _ in combinations(bits, r)) for r in range(distance + 1)])
+            low = len(c).bit_length() - 1
+            more = len(bits) - low  # bits that the histogram lacks are taken to be even
+            near = within(c, low, distance)
+            if more:
+                exact = np.diff(near, axis=0, prepend=0)
+                share = np.cumsum([math.comb(more, r) / 2.0**more for r in range(distance + 1)])
+                near = np.stack([sum(exact[i] * share[r - i] for i in range(r + 1)) for r in range(distance + 1)])
+            probes = np.cumsum([math.comb(len(bits), r) for r in range(distance + 1)]) * row_cost
             cost.append(np.vstack([np.zeros(len(c)), near + probes[:, None]]).astype(np.float32))
         return cls(distance, parts, counts, cost)
 
+    def held(self, part: int, values: np.ndarray) -> np.ndarray:
+        """Fingerprints counted with these values' low bits: none only if no fingerprint has the value."""
+        return self.counts[part][values & (len(self.counts[part]) - 1)]
+
+    def estimate(self) -> float:
+        """Mean cost of a fingerprint, by thresholds that are best on average, and of its own places."""
+        n = max(1, int(self.counts[0].sum()))
+        best = [0.0] + [math.inf] * (self.distance + 1)
+        for c, cost in zip(self.counts, self.cost, strict=True):
+            mean = (cost.astype(np.float64) * c).sum(axis=1) / n
+            best = [min(best[b - t] + mean[t] for t in range(b + 1)) for b in range(self.distance + 2)]
+        return best[-1] + ROW_COST * len(self.parts)
+
     def thresholds(self, values: list[np.ndarray]) -> np.ndarray:
         """[part, fingerprint]: thresholds from -1 (no probe) that cost least, by dynamic programming.
 
@@ -129,7 +160,7 @@ class Plan:
         best[0] = 0
         choice = np.zeros((len(values), budget + 1, n), np.int8)
         for p, v in enumerate(values):
-            cost = self.cost[p][:, v]
+            cost = self.cost[p][:, v & (len(self.counts[p]) - 1)]
             new = np.full_like(best, np.inf)
             for b in range(budget + 1):
                 for t in range(min(b, self.distance + 1) + 1):
@@ -152,14 +183,17 @@ def masks(width: int, most: int) -> list[list[int]]:
     return [[sum(1 << b for b in c) for c in combinations(range(width), r)] for r in range(most + 1)]
 
 
-def make_plan(distinct: DataFrame, distance: int, parts: int) -> Plan:
-    """Bit correlations and part histograms of all distinct fingerprints (column fp); both are of fixed size."""
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def make_plan(distinct: DataFrame, distance: int, options: tuple[int, ...] = PART_OPTIONS, histogram_bits: int = HISTOGRAM_BITS) -> Plan:
+    """The cheapest plan, from bit correlations and part histograms of all distinct fingerprints (column fp); all are of fixed size."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BITS, BITS), np.int64)
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            x = ((fps[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
+            x = ((_unsigned(batch.column("fp"))[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
             total += (x.T @ x).astype(np.int64)
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "n"])
@@ -168,34 +202,64 @@ def make_plan(distinct: DataFrame, distance: int, parts: int) -> Plan:
     together = np.zeros((BITS, BITS), np.int64)
     for r in distinct.select("fp").mapInArrow(pairs, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         together[r.i, r.j] = r.n
-    groups = group_bits(together, n, parts)
+    groupings = [group_bits(together, n, parts) for parts in options]
+    every = [g for groups in groupings for g in groups]
+    sizes = [1 << min(len(g), histogram_bits) for g in every]
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(1 << len(g), np.int64) for g in groups]
+        counts = [np.zeros(size, np.int64) for size in sizes]
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for c, g in zip(counts, groups, strict=True):
-                c += np.bincount(part_value(fps, g), minlength=len(c))
+            fps = _unsigned(batch.column("fp"))
+            for c, g in zip(counts, every, strict=True):
+                c += np.bincount(part_value(fps, g) & (len(c) - 1), minlength=len(c))
         for p, c in enumerate(counts):
             v = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), p, np.int64)), pa.array(v), pa.array(c[v])], ["p", "v", "n"])
 
-    counts = [np.zeros(1 << len(g), np.int64) for g in groups]
+    counts = [np.zeros(size, np.int64) for size in sizes]
     summed = distinct.select("fp").mapInArrow(values, "p long, v long, n long").groupBy("p", "v").agg(F.sum("n").alias("n")).toArrow()
     p, v, c = (summed.column(x).to_numpy() for x in ("p", "v", "n"))
-    for k in range(parts):
+    for k in range(len(every)):
         counts[k][v[p == k]] = c[p == k]
-    return Plan.of(distance, groups, counts)
+    plans, at = [], 0
+    for groups in groupings:
+        plans.append(Plan.of(distance, groups, counts[at : at + len(groups)], ROW_COST))
+        at += len(groups)
+    return min(plans, key=Plan.estimate)
 
 
-def _keys(distinct: DataFrame, plan: Plan, hot: int) -> DataFrame:
-    """kind (a part, or -1 for midpoints), key, fp, rep, probes: each fingerprint's own place in every part, and its probes."""
+def crowded_values(distinct: DataFrame, plan: Plan, hot: int) -> list[np.ndarray]:
+    """By part: the values, ascending, that more than hot fingerprints have. Only those that the histograms allow are counted."""
+    if all((c <= hot).all() for c in plan.counts):
+        return [np.empty(0, np.int64) for _ in plan.parts]
     shared = distinct.sparkSession.sparkContext.broadcast(plan)
-    single = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
-        flips = [masks(len(g), plan.distance) for g in plan.parts]
+        for batch in batches:
+            fps = _unsigned(batch.column("fp"))
+            for p, g in enumerate(plan.parts):
+                v = part_value(fps, g)
+                v, n = np.unique(v[plan.held(p, v) > hot], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), p, np.int64)), pa.array(v), pa.array(n)], ["p", "v", "n"])
+
+    found = distinct.select("fp").mapInArrow(run, "p long, v long, n long").groupBy("p", "v").agg(F.sum("n").alias("n")).where(F.col("n") > hot).toArrow()
+    p, v = (found.column(x).to_numpy() for x in ("p", "v"))
+    return [np.sort(v[p == k]) for k in range(len(plan.parts))]
+
+
+def _keys(distinct: DataFrame, plan: Plan, crowded: list[np.ndarray]) -> DataFrame:
+    """kind (a part, or -1 for midpoints), key, fp, rep, probes: each fingerprint's own place in every part, and its probes."""
+    shared = distinct.sparkSession.sparkContext.broadcast((plan, crowded))
+    single = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, crowded = shared.value
+        flips: dict[tuple[int, int], list[int]] = {}
+
+        def full(part: int, values: np.ndarray) -> np.ndarray:
+            known = crowded[part]
+            return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
         def rows(kind: int, key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probes: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -203,23 +267,27 @@ def _keys(distinct: DataFrame, plan: Plan, hot: int) -> DataFrame:
             )
 
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            rep = batch.column("rep").to_numpy(zero_copy_only=False)
+            fp, rep = _unsigned(batch.column("fp")), batch.column("rep").to_numpy(zero_copy_only=False)
             values = [part_value(fp, g) for g in plan.parts]
             t = plan.thresholds(values)
             wide = np.zeros(len(fp), bool)
             for p, v in enumerate(values):
-                crowded = plan.counts[p] > hot
-                wide |= crowded[v]
-                own = ~crowded[v]
+                hot = full(p, v)
+                wide |= hot
+                own = ~hot
                 yield rows(p, v[own], fp[own], rep[own], t[p][own] >= 0)
                 for r in range(1, plan.distance + 1):
                     some = np.flatnonzero(t[p] >= r)
-                    for m in flips[p][r] if len(some) else ():
+                    if not len(some):
+                        continue
+                    width = len(plan.parts[p])
+                    if (width, r) not in flips:
+                        flips[width, r] = masks(width, r)[r]
+                    for m in flips[width, r]:
                         probe = v[some] ^ m
-                        full = crowded[probe]
-                        wide[some[full]] = True
-                        go = some[~full & (plan.counts[p][probe] > 0)]
+                        hot = full(p, probe)
+                        wide[some[hot]] = True
+                        go = some[~hot & (plan.held(p, probe) > 0)]
                         if len(go):
                             yield rows(p, v[go] ^ m, fp[go], rep[go], np.ones(len(go), bool))
             if wide.any():
@@ -291,31 +359,31 @@ def link_keys(keys: DataFrame, distance: int, n: int) -> DataFrame:
     return keys.repartition(n, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(run, "a long, b long")
 
 
-def link_fingerprints(distinct: DataFrame, distance: int = 2, parts: int = PARTS, hot: int = HOT) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, distance: int = 2, options: tuple[int, ...] = PART_OPTIONS, hot: int = HOT, histogram_bits: int = HISTOGRAM_BITS) -> DataFrame:
     """distinct: fp and rep (a number for it). Returns a, b: enough links to connect all fp within distance bits.
 
-    Correlated bits share a part; each fingerprint's thresholds by part come from the histograms of all fingerprints;
-    a pair is met in a part that one of them probes, and verified on all bits. A value of a part that more than hot
-    fingerprints have is not paired: fingerprints that have or probe it are grouped by the points within one bit of
-    them, which any two within two bits share, and which hold 65 fingerprints at most. Distances over 2 have no such
-    points: a ValueError tells of them.
+    Correlated bits share a part; the number of parts, and each fingerprint's thresholds by part, come from the
+    histograms of all fingerprints; a pair is met in a part that one of them probes, and verified on all bits. A value of a
+    part that more than hot fingerprints have is not paired: fingerprints that have or probe it are grouped by the points
+    within one bit of them, which any two within two bits share, and which hold 65 fingerprints at most. Distances over 2
+    have no such points: a ValueError tells of them.
     """
     if distance > 2:
         raise ValueError("values of a part that are too frequent to be paired need a distance of 2 or less")
-    plan = make_plan(distinct, distance, parts)
+    plan = make_plan(distinct, distance, options, histogram_bits)
     n = int(plan.counts[0].sum())
-    keys = _keys(distinct, plan, hot)
-    return link_keys(keys, distance, n_partitions(distinct, n * (parts + 1), 1_000_000))
+    crowded = crowded_values(distinct, plan, max(hot, n // HOT_VALUES))
+    return link_keys(_keys(distinct, plan, crowded), distance, n_partitions(distinct, n * (len(plan.parts) + 1), 1_000_000))
 
 
-def with_components(prints: DataFrame, distance: int = 2, parts: int = PARTS, hot: int = HOT) -> DataFrame:
+def with_components(prints: DataFrame, distance: int = 2, options: tuple[int, ...] = PART_OPTIONS, hot: int = HOT, histogram_bits: int = HISTOGRAM_BITS) -> DataFrame:
     """prints (doc_id, fp) with component_id: the smallest doc_id that links reach, its own included.
 
     Equal fingerprints are linked, those of empty texts among them, and stand for one another before any search. Rows
     with a null id take no part and have no component. Rows that share an id are one document.
     """
     distinct = checkpointed(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = link_fingerprints(distinct, distance, parts, hot)
+    links = link_fingerprints(distinct, distance, options, hot, histogram_bits)
     several = prints.groupBy("doc_id").agg(F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).where("_lo <> _hi").select("doc_id")
     same_id = prints.join(several, "doc_id", "left_semi").join(distinct, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(same_id)).select(F.col("node").alias("rep"), F.col("component"))
