@@ -77,11 +77,11 @@ def _clear() -> None:
             return
 
 
-def stored(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder and read again, and where it is."""
+def stored(df: DataFrame, kind: str, *folders: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder (in a folder for each value of these columns) and read again, and where it is."""
     spark = df.sparkSession
     path = new_path(spark, kind)
-    df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.partitionBy(*folders).option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_SPACE, stored, table
+from .common import LOWER_SPACE, new_path, remove_path, stored, table
 from .language_id import fold
 
 #: Tokens of a chunk: what is encoded, counted and scored at a time.
@@ -29,6 +29,9 @@ ENTRY_BITS = 16
 HASHES = 11
 SEGMENT_BYTES = 64 << 20
 
+#: Folders, at most, that buckets of pairs are kept in; a segment reads its own folders alone.
+PAIR_FOLDERS = 4_096
+
 #: Weight of a pair's relative frequency against the word's own.
 WEIGHT = 0.25
 
@@ -97,8 +100,8 @@ class LogFilter:
 
 
 def counts_of_levels(levels: np.ndarray) -> np.ndarray:
-    """The mean of the counts that share a level; 0 for level 0."""
-    return np.where(levels > 0, (3 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
+    """The least of the counts that share a level, so that a word's successors have no more than its own count; 0 for level 0."""
+    return np.where(levels > 0, 2.0 ** (levels - 1), 0.0)
 
 
 def _squeeze(tokens: np.ndarray) -> bytes:
@@ -106,6 +109,16 @@ def _squeeze(tokens: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
+def _squeeze_hashes(hashes: np.ndarray) -> bytes:
+    """Compressed ascending 64-bit numbers: their differences, byte planes apart."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _expand_hashes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _expand(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
@@ -218,35 +231,57 @@ def _pairs(tokens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys // len(hashes), keys % len(hashes), at, before
 
 
-def pair_filters(chunks: DataFrame, n_buckets: int, entry_bits: int = ENTRY_BITS) -> DataFrame:
-    """bucket, size (bits), bits: a filter for each bucket of pairs in training texts, with their counts over all chunks."""
+_PAIRS = "folder long, bucket long, chunk long, h binary, size long, bits binary"
+
+
+def pair_buckets(chunks: DataFrame, n_buckets: int, entry_bits: int = ENTRY_BITS) -> DataFrame:
+    """For each bucket of pairs, its filter (chunk null): size (bits) and bits, from the counts of pairs in training texts
+    over all chunks; and for each chunk, h, its own pairs there, ascending. folder: to which of PAIR_FOLDERS the bucket goes.
+    """
+    width = -(-n_buckets // PAIR_FOLDERS)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, hashes, lens, train in _chunk_rows(batches):
+        for chunk, tokens, hashes, lens, train in _chunk_rows(batches):
             first, second, at, _ = _pairs(tokens, hashes)
             counts = np.bincount(at[np.repeat(train, lens)], minlength=len(first))
-            met = counts > 0
-            pairs, counts = pair_hashes(hashes[first[met]], hashes[second[met]]), counts[met]
+            pairs = pair_hashes(hashes[first], hashes[second])
             order, starts = _by_bucket(pairs, n_buckets)
-            h, c = pairs[order].astype("<u8"), counts[order].astype("<u4")
-            rows = [(b, h[x:y].tobytes(), c[x:y].tobytes()) for b, (x, y) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "h", "c"])
+            h, c = pairs[order], counts[order]
+            rows = [(b, chunk, _squeeze_hashes(h[x:y]), _squeeze(c[x:y])) for b, (x, y) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "h", "c"])
 
     def merge(rows: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in rows.column("h")])
-        c = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows.column("c")])
+        h = np.concatenate([_expand_hashes(x.as_py()) for x in rows.column("h")])
+        c = np.concatenate([_expand(x.as_py()) for x in rows.column("c")])
+        h, c = h[c > 0], c[c > 0]
         distinct, at = np.unique(h, return_inverse=True)
-        f = LogFilter.of(distinct, np.bincount(at, weights=c), entry_bits)
-        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "size": pa.array([f.size], pa.int64()), "bits": pa.array([f.bits.tobytes()], pa.binary())})
+        f = LogFilter.of(distinct, np.bincount(at, weights=c, minlength=len(distinct)), entry_bits)
+        n, bucket = rows.num_rows, rows.column("bucket")[0].as_py()
+        return pa.table({
+            "folder": pa.array([bucket // width] * (n + 1), pa.int64()), "bucket": pa.array([bucket] * (n + 1), pa.int64()), "chunk": pa.array([None, *rows.column("chunk").to_pylist()], pa.int64()),
+            "h": pa.chunked_array([pa.array([None], pa.binary()), *rows.column("h").chunks]), "size": pa.array([f.size, *[None] * n], pa.int64()), "bits": pa.array([f.bits.tobytes(), *[None] * n], pa.binary()),
+        })
+
+    return chunks.mapInArrow(own, "bucket long, chunk long, h binary, c binary").groupBy("bucket").applyInArrow(merge, _PAIRS)
+
 
-    return chunks.mapInArrow(own, "bucket long, h binary, c binary").groupBy("bucket").applyInArrow(merge, "bucket long, size long, bits binary")
+def probed(pairs: DataFrame, sent: Broadcast[dict[int, LogFilter]]) -> DataFrame:
+    """chunk, bucket, levels (a byte for each of the chunk's pairs there): of pairs whose buckets' filters are sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, chunk, h in zip(batch.column("bucket").to_pylist(), batch.column("chunk").to_pylist(), batch.column("h"), strict=True):
+                levels = sent.value[b].probe(_expand_hashes(h.as_py())).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([b], pa.int64()), pa.array([levels], pa.binary())], ["chunk", "bucket", "levels"])
+
+    return pairs.select("bucket", "chunk", "h").mapInArrow(run, "chunk long, bucket long, levels binary")
 
 
 def segments(filters: DataFrame, most: int) -> list[list[int]]:
     """Buckets whose filters go out together, at most so many bytes (or a single bucket)."""
     out: list[list[int]] = []
     size = most + 1
-    for r in filters.select("bucket", "size").orderBy("bucket").collect():
+    for r in filters.select("bucket", "size").orderBy("bucket").toLocalIterator():
         if size + r.size // 8 > most:
             out.append([])
             size = 0
@@ -255,7 +290,7 @@ def segments(filters: DataFrame, most: int) -> list[list[int]]:
     return out
 
 
-_SCORED = "chunk long, at long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+_SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT, segment_bytes: int = SEGMENT_BYTES, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -267,63 +302,59 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     from the filter and is no larger than either word's; after a word that no training text has, the base alone holds.
     Without training texts N and V are 0. Repeated rows each count and are each scored; null ids are kept.
 
+    A word's successors have shares that add up to one at most, but for the filter's false positives (one probe of an
+    absent pair in 2,000), so that what score adds up are probabilities.
+
     Nothing here is as large as the vocabulary on any machine: counts of words reach each chunk by a shuffle of merged
-    buckets, and the filter, which grows with the distinct pairs, is broadcast in segments of segment_bytes, each of
-    which scores the tokens whose pairs it holds.
+    buckets. The filter, which grows with the distinct pairs, is broadcast in segments of segment_bytes, one at a time;
+    each is probed for the pairs that chunks have in its buckets, kept in folders of their own, so that all segments
+    together read each pair once.
     """
     spark = docs.sparkSession
     chunks, _ = stored(encode_chunks(docs, train, id_col, text_col, chunk_tokens), "lm-chunks")
-    sizes = chunks.agg(F.sum("n_words"), F.sum("n_train")).first()
-    n_words, n_train = sizes[0] or 0, sizes[1] or 0
+    sizes = chunks.agg(F.sum("n_words"), F.sum("n_train"), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, n: a + n))).first()
+    n_words, n_train, n_tokens = (x or 0 for x in sizes)
     counts, _ = stored(word_counts(chunks, word_buckets := max(1, -(-n_words // MERGE_WORDS))), "lm-counts")
     totals = counts.groupBy("bucket").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n"), F.sum("v")).first()
     n, v = totals[0] or 0, totals[1] or 0
-    filters, _ = stored(pair_filters(chunks, pair_buckets := max(1, -(-n_train // MERGE_PAIRS))), "lm-filters")
-    passes = segments(filters, segment_bytes) or [[]]
+    pairs, pairs_path = stored(pair_buckets(chunks, n_buckets := max(1, -(-n_tokens // MERGE_PAIRS))), "lm-pairs", "folder")
+    width = -(-n_buckets // PAIR_FOLDERS)
+    levels_path = new_path(spark, "lm-levels")
+    for buckets in segments(pairs.where("chunk IS NULL"), segment_bytes):
+        here = pairs.where(F.col("folder").between(buckets[0] // width, buckets[-1] // width) & F.col("bucket").between(buckets[0], buckets[-1]))
+        sent = spark.sparkContext.broadcast({r.bucket: LogFilter(r.size, np.frombuffer(bytes(r.bits), np.uint8)) for r in here.where("chunk IS NULL").toLocalIterator()})
+        probed(here.where("chunk IS NOT NULL"), sent).write.mode("append").parquet(levels_path)
+        sent.destroy()
+    remove_path(spark, pairs_path)
     floor = math.log10(n + 0.5 * (v + 1))
-    def scorer(sent: Broadcast[dict[int, LogFilter]]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        def run(chunk: pa.Table, words: pa.Table) -> pa.Table:
-            (_, tokens, hashes, lens, train), = _chunk_rows(chunk.to_batches())
-            words = words.sort_by("bucket")
-            count = np.empty(len(hashes), np.float64)
-            order, _ = _by_bucket(hashes, word_buckets)
-            count[order] = np.frombuffer(b"".join(x.as_py() for x in words.column("counts")), "<u8")
-            base = np.log10(count + 0.5) - floor
-            first, second, at, _ = _pairs(tokens, hashes)
-            pairs = pair_hashes(hashes[first], hashes[second])
-            bucket = bucket_of(pairs, pair_buckets)
-            own = np.isin(bucket, list(sent.value)) if sent.value else np.ones(len(pairs), bool)
-            estimate = np.zeros(len(pairs))
-            for b, f in sent.value.items():
-                there = np.flatnonzero(bucket == b)
-                estimate[there] = counts_of_levels(f.probe(pairs[there]))
-            c1, c2 = count[first], count[second]
-            share = np.minimum(estimate, np.minimum(c1, c2)) / np.maximum(c1, 1)
-            mixed = np.log10((1 - weight) * 10 ** base[second] + weight * share)
-            value = np.where(own, np.where(c1 > 0, mixed, base[second]), 0.0)
-            starts = np.cumsum(lens) - lens
-            k = len(lens)
-            return pa.table({
-                "chunk": pa.array(np.full(k, chunk.column("chunk")[0].as_py())), "at": pa.array(np.arange(k)), "doc_id": chunk.column("doc_ids").chunk(0)[0].values, "train": pa.array(train),
-                "n_tokens": pa.array(lens.astype(np.int64)), "n_known": pa.array(np.add.reduceat((count[tokens] > 0).astype(np.int64), starts)),
-                "base_score": pa.array(np.add.reduceat(base[tokens], starts)), "score": pa.array(np.add.reduceat(value[at], starts)),
-            })
-
-        return run
-
-    words = counts.select(F.col("chunk").alias("of"), "bucket", "counts").groupBy("of")
-    parts = []
-    for buckets in passes:
-        rows = filters.where(F.col("bucket").isin(buckets)).collect() if buckets else []
-        sent = spark.sparkContext.broadcast({r.bucket: LogFilter(r.size, np.frombuffer(bytes(r.bits), np.uint8)) for r in rows})
-        del rows
-        parts.append(chunks.groupBy("chunk").cogroup(words).applyInArrow(scorer(sent), _SCORED))
-    out = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            out = out.union(part)
-        same = ("doc_id", "train", "n_tokens", "n_known", "base_score")
-        out = out.groupBy("chunk", "at").agg(*(F.first(c).alias(c) for c in same), F.sum("score").alias("score"))
+
+    def run(chunk: pa.Table, parts: pa.Table) -> pa.Table:
+        (_, tokens, hashes, lens, train), = _chunk_rows(chunk.to_batches())
+        parts = parts.sort_by("bucket")
+
+        def joined(column: str, dtype: str) -> np.ndarray:  # of all buckets, in their order
+            return np.frombuffer(b"".join(x.as_py() for x in parts.column(column).drop_null()), dtype)
+
+        count = np.empty(len(hashes), np.float64)
+        count[_by_bucket(hashes, word_buckets)[0]] = joined("counts", "<u8")
+        base = np.log10(count + 0.5) - floor
+        first, second, at, _ = _pairs(tokens, hashes)
+        estimate = np.empty(len(first))
+        estimate[_by_bucket(pair_hashes(hashes[first], hashes[second]), n_buckets)[0]] = counts_of_levels(joined("levels", "u1").astype(np.int64))
+        c1, c2 = count[first], count[second]
+        share = np.minimum(estimate, np.minimum(c1, c2)) / np.maximum(c1, 1)
+        value = np.where(c1 > 0, np.log10((1 - weight) * 10 ** base[second] + weight * share), base[second])
+        starts = np.cumsum(lens) - lens
+        return pa.table({
+            "doc_id": chunk.column("doc_ids").chunk(0)[0].values, "train": pa.array(train), "n_tokens": pa.array(lens.astype(np.int64)), "n_known": pa.array(np.add.reduceat((count[tokens] > 0).astype(np.int64), starts)),
+            "base_score": pa.array(np.add.reduceat(base[tokens], starts)), "score": pa.array(np.add.reduceat(value[at], starts)),
+        })
+
+    words = counts.select(F.col("chunk").alias("of"), "bucket", "counts", F.lit(None).cast("binary").alias("levels"))
+    if n_tokens:
+        read = spark.read.schema("chunk long, bucket long, levels binary").parquet(levels_path)
+        words = words.union(read.select("chunk", "bucket", F.lit(None).cast("binary"), "levels"))
+    out = chunks.groupBy("chunk").cogroup(words.groupBy("of")).applyInArrow(run, _SCORED)
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
