@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_before, stored, table
+from .common import n_partitions, running_before, stored, table
 from .tokens import encoder
 
 WINDOW = 2048
@@ -21,14 +21,17 @@ MIN_PIECE = 64
 #: Tokens for each part that is packed by itself, but for what is carried in.
 PART_TOKENS = 1 << 20
 
+#: Parts that a task packs one after another, if they are more than the session's shuffle partitions.
+PARTS_OF_TASK = 16
+
 _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source (null: empty), n_tokens, ids (little-endian, 16 bits each if they all fit, else 32), wide."""
+    """doc_id, source (null: empty), n_tokens, ids (little-endian, 16 bits each if they all fit, else 32), wide, nth (row of its task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode, before = encoder(tokenizer).encode, 0
         for batch in batches:
             sizes, raw, wide = [], [], []
             for ids in encode(batch.column("t").to_pylist()):
@@ -37,12 +40,13 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
                 sizes.append(len(a))
                 raw.append(a.astype("<u4" if wide[-1] else "<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("i"), batch.column("s"), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(wide, pa.bool_())],
-                ["doc_id", "source", "n_tokens", "ids", "wide"],
+                [batch.column("i"), batch.column("s"), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(wide, pa.bool_()), pa.array(range(before, before + len(sizes)), pa.int64())],
+                ["doc_id", "source", "n_tokens", "ids", "wide", "nth"],
             )
+            before += len(sizes)
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary, wide boolean")
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary, wide boolean, nth long")
 
 
 def capacities(tokens: int, window: int) -> list[int]:
@@ -101,14 +105,15 @@ def pack(tokens: DataFrame, window: int = WINDOW, min_piece: int = MIN_PIECE, pa
     """The pieces of tokenize()'s documents: doc_id, start, length, doc_tokens, sequence_id, offset, ids (32 bits each).
 
     tokens is read several times: store it first. shares: target proportion of tokens by source; the corpus's own by
-    default. Documents go to parts by hash, so that each part, whatever a source's size, is a like mix; a part begins
+    default. Documents go to parts by hash of id, length and place, so that each part, whatever a source's size, is a like
+    mix, and repeated rows are spread; a part holds about part_tokens, and more only if one document does. A part begins
     with the deficits that the parts before it leave, reckoned from sums of tokens by part and source, so that all
     parts are packed at once. All windows are full, but a part's last tokens fill sequences of powers of two: nothing
     is padded. Repeated rows are packed as often as they occur; an empty table gives no piece.
     """
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     n = max(1, -(-total // part_tokens))
-    parted = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(n)))
+    parted = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "n_tokens", "nth"), F.lit(n)))
     sums = parted.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
     if shares is None:
         wanted = sums.groupBy("source").agg((F.sum("n") / F.lit(max(total, 1))).alias("share"))
@@ -141,7 +146,8 @@ def pack(tokens: DataFrame, window: int = WINDOW, min_piece: int = MIN_PIECE, pa
             names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
         )
 
-    return parted.groupBy("part").cogroup(carried.groupBy("to_part")).applyInArrow(run, _PIECE)
+    tasks = n_partitions(tokens, n, PARTS_OF_TASK)
+    return parted.drop("nth").repartition(tasks, "part").groupBy("part").cogroup(carried.repartition(tasks, "to_part").groupBy("to_part")).applyInArrow(run, _PIECE)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
