@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import checkpointed, stored, table
 
 WINDOW = 10
 
 #: Item words that are broadcast at a time, as windows; more items take more blocks, one after another.
 BLOCK_WORDS = 200_000
 
+#: Texts with hits that are broadcast to be joined to the documents; more are joined by a shuffle.
+BROADCAST_TEXTS = 20_000
+
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z became a-z; all else parts words.
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -121,44 +126,73 @@ def find_contamination(
     A window is that many consecutive words of an item, or all words of a shorter one; a null text has no words, and
     null item ids take no part. Each row of docs gives a row, repeated or not; no items, or no documents, give no
     spans. Own columns of these three names are replaced.
+
+    A block of items is looked for in one pass over the documents. Where there are several, each pass keeps only what it
+    finds, by a hash of the text, and all of it is joined to the documents once, at the end.
     """
-    sc = docs.sparkSession.sparkContext
     names = [c for c in docs.columns if c not in ("n_words", "spans", "items") and (keep_text or c != text_col)]
-    out_schema = T.StructType([docs.schema[c] for c in names])
-    out_schema = T.StructType(out_schema.fields + T._parse_datatype_string(_FOUND).fields) if names else T._parse_datatype_string(_FOUND)
+    out_schema = T.StructType([docs.schema[c] for c in names] + T._parse_datatype_string(_FOUND).fields)
     own = [f"_{k}" for k in range(len(names))]  # whatever the columns are named
-    frame = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), F.col(text_col).cast("binary").alias("_text"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+    frame = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), F.col(text_col).cast("binary").alias("_text"))
     blocks = item_blocks(items, item_id_col, item_text_col, window, block_words)
-    block = next(blocks, [])
+    index, following = _block_index(docs, text_col, next(blocks, []), window), next(blocks, None)
+    if following is None:
+        return frame.mapInArrow(lambda batches: _all_rows(batches, own, names, index), out_schema)
+    kept, k = [], 0
     while True:
-        following = next(blocks, None)
-        vocabulary = frozenset(w for _, words in block for w in words)
-        index = sc.broadcast(prefix_index(block, word_counts(docs, text_col, vocabulary) if block else {}, window))
-        last = following is None
-
-        def run(batches: Iterator[pa.RecordBatch], index=index, last=last) -> Iterator[pa.RecordBatch]:
-            known = index.value
-            for batch in batches:
-                n_words, spans, all_items = [], [], []
-                for text, old_spans, old_items in zip(batch.column("_text"), batch.column("_spans"), batch.column("_items"), strict=True):
-                    words = words_of(text.as_py())
-                    s, found = find(words, known)
-                    if (was := old_spans.as_py()) is not None:
-                        s, found = merged(s + [(x["begin"], x["end"]) for x in was]), found | set(old_items.as_py())
-                    n_words.append(len(words))
-                    spans.append([{"begin": a, "end": b} for a, b in s])
-                    all_items.append(sorted(found))
-                kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-                new = [pa.array(spans, kind), pa.array(all_items, pa.list_(pa.string()))]
-                if last:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n_words, pa.int64()), *new], [*names, "n_words", "spans", "items"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), batch.column("_text"), *new], [*own, "_text", "_spans", "_items"])
-
-        if last:
-            return frame.mapInArrow(run, out_schema)
-        frame, _ = stored(frame.mapInArrow(run, frame.schema), "decontamination")
-        block = following
+        kept.append(stored(_keyed(frame).select("_key", "_text").mapInArrow(lambda batches, index=index: _hit_rows(batches, index), _HITS).withColumn("k", F.lit(k)), "decontamination")[0])
+        index.unpersist()
+        if following is None:
+            break
+        index, following, k = _block_index(docs, text_col, following, window), next(blocks, None), k + 1
+    hits = reduce(DataFrame.union, kept).groupBy("key", "k").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+    hits = checkpointed(hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items")).withColumnRenamed("key", "_key"))
+    found = _keyed(frame).join(F.broadcast(hits) if hits.count() <= BROADCAST_TEXTS else hits, "_key", "left").drop("_key")
+    return found.mapInArrow(lambda batches: _all_rows(batches, own, names, None), out_schema)
+
+
+_KIND = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+_HITS = "key binary, spans array<struct<begin:long,end:long>>, items array<string>"
+
+
+def _block_index(docs: DataFrame, text_col: str, block: list[tuple[str, list[bytes]]], window: int) -> Broadcast[Prefixes]:
+    vocabulary = frozenset(w for _, words in block for w in words)
+    return docs.sparkSession.sparkContext.broadcast(prefix_index(block, word_counts(docs, text_col, vocabulary) if block else {}, window))
+
+
+def _keyed(frame: DataFrame) -> DataFrame:
+    """frame with _key, 128 bits of the text's SHA-256: what is found in a text depends on nothing else."""
+    return frame.withColumn("_key", F.substring(F.unhex(F.sha2("_text", 256)), 1, 16))
+
+
+def _hit_rows(batches: Iterator[pa.RecordBatch], index: Broadcast[Prefixes]) -> Iterator[pa.RecordBatch]:
+    """The keys of texts that hold a window of the block, with its spans and items; other texts give no row."""
+    for batch in batches:
+        keys, spans, items = [], [], []
+        for key, text in zip(batch.column("_key"), batch.column("_text"), strict=True):
+            s, names = find(words_of(text.as_py()), index.value)
+            if s:
+                keys.append(key.as_py())
+                spans.append([{"begin": a, "end": b} for a, b in s])
+                items.append(sorted(names))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spans, _KIND), pa.array(items, pa.list_(pa.string()))], ["key", "spans", "items"])
+
+
+def _all_rows(batches: Iterator[pa.RecordBatch], own: list[str], names: list[str], index: Broadcast[Prefixes] | None) -> Iterator[pa.RecordBatch]:
+    """Every row, with what the index finds or, without one, with what _spans and _items have of all blocks."""
+    for batch in batches:
+        n_words, spans, items = [], [], []
+        for k, text in enumerate(batch.column("_text")):
+            words = words_of(text.as_py())
+            if index is not None:
+                s, found = find(words, index.value)
+            else:
+                s, found = merged([(x["begin"], x["end"]) for x in batch.column("_spans")[k].as_py() or ()]), set(batch.column("_items")[k].as_py() or ())
+            n_words.append(len(words))
+            spans.append([{"begin": a, "end": b} for a, b in s])
+            items.append(sorted(found))
+        new = [pa.array(n_words, pa.int64()), pa.array(spans, _KIND), pa.array(items, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], [*names, "n_words", "spans", "items"])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
