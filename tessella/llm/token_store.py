@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLOB_END, checkpointed, new_path, read_blobs, remove_path, table, write_blobs
+from .common import BLOB_END, checkpointed, new_path, read_blobs, remove_path, running_before, table, write_blobs
 from .tokens import encoder
 
 MAGIC = b"TPF1"
@@ -171,10 +171,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(documents: DataFrame) -> DataFrame:
-    """documents with start: the ids of all documents before each. Shards alone are summed in one task."""
+    """documents with start: the ids of all documents before each. Sums go from shards to ranges, and from runs of ranges on."""
     shards = documents.groupBy("part", "number").agg(F.sum("n_tokens").alias("_ids"))
-    before = shards.withColumn("_before", F.coalesce(F.sum("_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return documents.join(before, ["part", "number"]).withColumn("start", F.col("_before") + F.col("local")).drop("_ids", "_before")
+    ranges = running_before(shards.groupBy("part").agg(F.sum("_ids").alias("_all")), "part", "_all", "_ahead").drop("_all")
+    own = F.sum("_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    before = shards.withColumn("_before", F.coalesce(own, F.lit(0))).join(ranges, "part").drop("_ids")
+    return documents.join(before, ["part", "number"]).withColumn("start", F.col("_ahead") + F.col("_before") + F.col("local")).drop("_ahead", "_before")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
