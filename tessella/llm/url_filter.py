@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -36,8 +37,29 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
+@dataclass
+class _Host:
+    """A host's interval, and its rules by path."""
+
+    prefix: str
+    paths: dict[str, tuple[str, str]]
+    lengths: list[int]  # that paths have, the longest first
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        self.paths[path] = rule, verdict
+        if len(path) not in self.lengths:
+            insort(self.lengths, len(path), key=lambda n: -n)
+
+    def fit(self, path: str) -> tuple[str, str] | None:
+        """The rule of the longest path that path starts with."""
+        for n in self.lengths:
+            if n <= len(path) and (found := self.paths.get(path[:n])):
+                return found
+        return None
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part and key, rules first; keeps the stack of the rules whose interval the sweep is in."""
+    """Rows sorted by part and key, rules first; keeps the stack of the hosts whose interval the sweep is in."""
     part, stack = None, []
     for batch in batches:
         kept, rules, verdicts = [], [], []
@@ -45,15 +67,17 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (p, key, kind, path, rule, verdict) in enumerate(zip(*columns, strict=True)):
             if p != part:
                 part, stack = p, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].prefix):
                 stack.pop()
             if kind == 0:
-                stack.append((key, path, rule, verdict))
+                if not stack or stack[-1].prefix != key:
+                    stack.append(_Host(key, {}, []))
+                stack[-1].add(path, rule, verdict)
                 continue
             best, longest = (None, None), (-1, -1)
-            for prefix, start, name, says in stack:
-                if path.startswith(start) and (size := (len(name), len(prefix))) > longest:
-                    best, longest = (name, says), size
+            for host in stack:
+                if (found := host.fit(path)) and (size := (len(found[0]), len(host.prefix))) > longest:
+                    best, longest = found, size
             kept.append(i)
             rules.append(best[0])
             verdicts.append(best[1])
@@ -67,7 +91,7 @@ def match_urls(pages: DataFrame, rules: DataFrame, row_col: str, url_col: str =
     """For each page: row_col, host, path, rule, verdict.
 
     rules: host, path, verdict. A rule fits its host and all subdomains if the url's path starts with the rule's; the
-    longest (host and path together, then the host alone) wins, and equal rules are one, the verdict that sorts last (block
+    longest (host and path together, then the host alone) wins, and equal rules (hosts in any case) are one, the verdict that sorts last (block
     before allow); rules with a null host or path fit nothing. Without
     a fitting rule: rule null and the default verdict. A null url, or one without '://', has an empty host and path
     and fits only a rule for the empty host. Repeated pages each give a row; null ids are kept.
@@ -92,15 +116,22 @@ def match_urls(pages: DataFrame, rules: DataFrame, row_col: str, url_col: str =
 
     @F.pandas_udf("array<int>")
     def parts_of(prefix: pd.Series) -> pd.Series:
-        return prefix.map(lambda k: list(range(bisect_right(cuts, k), bisect_right(cuts, k + "\U0010ffff") + 1)))
+        return prefix.map(lambda k: list(range(bisect_right(cuts, k), bisect_left(cuts, after(k)) + 1)))
+
+    def after(prefix: str) -> str:
+        """The least key that sorts after all that start with prefix."""
+        while prefix and prefix[-1] == "\U0010ffff":
+            prefix = prefix[:-1]
+        last = ord(prefix[-1]) + 1 if prefix else 0
+        return prefix[:-1] + chr(0xE000 if last == 0xD800 else last) if prefix else "\U0010ffff" * 64
 
     text = F.lit(None).cast("string")
-    once = rules.where("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(host_key(lower_ascii(F.col("host"))).alias("_key"), "host", "path", "verdict")
+    once = rules.where("host IS NOT NULL AND path IS NOT NULL").groupBy(lower_ascii(F.col("host")).alias("_low"), "path").agg(F.max(F.struct("verdict", "host")).alias("_one")).select(host_key(F.col("_low")).alias("_key"), "_one.host", "path", "_one.verdict")
     begins = once.withColumn("_part", F.explode(parts_of("_key"))).select(
         "_part", "_key", F.lit(0).alias("_kind"), F.col("path").alias("_path"), F.lit(None).cast(keyed.schema["_row"].dataType).alias("_row"), text.alias("_host"), F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict")
     )
     points = keyed.select(part_of(whole).alias("_part"), "_key", F.lit(1).alias("_kind"), "_path", "_row", "_host", text.alias("_rule"), text.alias("_verdict"))
-    dealt = begins.unionByName(points).repartition(parts, "_part").sortWithinPartitions("_part", "_key", "_kind")
+    dealt = begins.unionByName(points).repartitionById(parts, "_part").sortWithinPartitions("_part", "_key", "_kind")
     row_type = keyed.schema["_row"].dataType.simpleString()
     swept = dealt.mapInArrow(_sweep, f"_row {row_type}, _path string, _host string, _rule string, _verdict string")
     return swept.select(
