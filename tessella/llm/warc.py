@@ -165,26 +165,26 @@ def read_archive(raw: bytes) -> Iterator[Record]:
 
 
 def originals(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """Of the payloads of min_bytes at least that several rows have: _digest, _first, the largest id."""
-    digests = pages.select(F.col(id_col).alias("_id"), F.octet_length(payload_col).alias("_n"), F.sha1(F.col(payload_col)).alias("_digest"))
-    long = digests.where(F.col("_n") >= min_bytes).groupBy("_digest")
-    return long.agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_digest", "_first")
+    """Of the payloads of min_bytes at least that several rows have: _same (SHA-256), _first, the largest id."""
+    digests = pages.select(F.col(id_col).alias("_id"), F.octet_length(payload_col).alias("_n"), F.sha2(F.col(payload_col), 256).alias("_same"))
+    long = digests.where(F.col("_n") >= min_bytes).groupBy("_same")
+    return long.agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_same", "_first")
 
 
 def with_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages with _digest, _revisit and _refers_to.
+    """pages with _digest (SHA-1, which records carry), _revisit and _refers_to.
 
-    Only rows of repeated payloads are looked up, without their text; a payload that very many rows have is counted in
-    parts and joined as Spark splits it.
+    Payloads are equal if their SHA-256 is. Only rows of repeated payloads are looked up, without their text; a payload
+    that very many rows have is counted in parts and joined as Spark splits it.
     """
-    rows = pages.select(F.col(id_col).alias("_pid"), F.octet_length(payload_col).alias("_n"), F.sha1(F.col(payload_col)).alias("_digest"))
+    rows = pages.select(F.col(id_col).alias("_pid"), F.octet_length(payload_col).alias("_n"), F.sha2(F.col(payload_col), 256).alias("_same"))
     again = (
-        rows.where(F.col("_n") >= min_bytes).join(originals(pages, id_col, payload_col, min_bytes), "_digest")
-        .where(~F.col("_pid").eqNullSafe(F.col("_first"))).select("_pid", F.col("_digest").alias("_d"), "_first").distinct()
+        rows.where(F.col("_n") >= min_bytes).join(originals(pages, id_col, payload_col, min_bytes), "_same")
+        .where(~F.col("_pid").eqNullSafe(F.col("_first"))).select("_pid", F.col("_same").alias("_s"), "_first").distinct()
     )
-    mine = pages.withColumn("_digest", F.sha1(F.col(payload_col)))
-    both = mine.join(again, mine[id_col].eqNullSafe(again["_pid"]) & (F.col("_digest") == F.col("_d")), "left")
-    return both.withColumn("_revisit", F.col("_d").isNotNull()).withColumn("_refers_to", F.col("_first")).drop("_pid", "_d", "_first")
+    mine = pages.withColumn("_digest", F.sha1(F.col(payload_col))).withColumn("_same", F.sha2(F.col(payload_col), 256))
+    both = mine.join(again, mine[id_col].eqNullSafe(again["_pid"]) & (F.col("_same") == F.col("_s")), "left")
+    return both.withColumn("_revisit", F.col("_s").isNotNull()).withColumn("_refers_to", F.col("_first")).drop("_pid", "_same", "_s", "_first")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
