@@ -9,9 +9,10 @@ from .common import SPACES, checkpointed, lower_ascii, table
 
 WORD = 64  # lines for each word of a bitmap
 
-#: A line that over one in so many documents has is looked up by broadcast, so that its rows stay where they are. There
-#: are at most HOT_SHARE times as many such lines as a document has on average, however large the table.
+#: A line that over one in so many documents has is looked up by broadcast, so that its rows stay where they are; but for
+#: HOT_LINES of them at most, the most frequent ones. All other lines are joined by their hash, which Spark can split.
 HOT_SHARE = 200
+HOT_LINES = 20_000
 
 
 def _lines(text: Column) -> Column:
@@ -29,12 +30,12 @@ def _row_key(id_col: str, text_col: str) -> list[Column]:
 def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """One row for each line whose key has at least min_chars code points: _id, _version, _at (from 0), _hash, _nth.
 
-    Hashes (MD5 of the key) are range-partitioned together with the document, so that a very frequent line is cut
+    Hashes (128 bits of the key's SHA-256) are range-partitioned together with the document, so that a very frequent line is cut
     into ranges of documents, and sorted by hash, document and position; _nth streams over that order and is 1 at a
     line's first occurrence in a document.
     """
     lines = docs.select(*_row_key(id_col, text_col), F.posexplode(F.transform(_lines(F.col(text_col)), line_key)).alias("_at", "_key"))
-    keyed = lines.where(F.char_length("_key") >= min_chars).select("_id", "_version", "_at", F.unhex(F.md5("_key")).alias("_hash"))
+    keyed = lines.where(F.char_length("_key") >= min_chars).select("_id", "_version", "_at", F.substring(F.unhex(F.sha2("_key", 256)), 1, 16).alias("_hash"))
     ranged = keyed.repartitionByRange("_hash", "_id")
     return ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_hash", "_id").orderBy("_version", "_at")))
 
@@ -50,6 +51,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     firsts = at.where("_nth = 1").groupBy("_hash")  # partial counts: a key's rows never meet in one task
     frequent = firsts.agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_version", "_at")).alias("_first")).where(F.col("_docs") >= min_docs)
     limit = docs.count() / HOT_SHARE
+    frequent = checkpointed(frequent)
+    bar = frequent.where(F.col("_docs") > limit).orderBy(F.desc("_docs")).limit(HOT_LINES).agg(F.count(F.lit(1)), F.min("_docs")).first()
+    limit = bar[1] if bar[0] == HOT_LINES else limit  # of equally frequent ones at the bar, none is broadcast
     hot = F.broadcast(frequent.where(F.col("_docs") > limit).select("_hash", "_first"))
     rest = frequent.where(F.col("_docs") <= limit).select("_hash", "_first")
     gone = at.join(hot, "_hash").unionByName(at.join(hot, "_hash", "left_anti").join(rest, "_hash"))
