@@ -127,22 +127,39 @@ def test_nearest(spark):
     assert ann.nearest(v.where("false"), v, k=10).count() == 0 and ann.nearest(v, v.where("false"), k=10).count() == 0
 
 
-def unclustered_recall(n, projections=ann.PROJECTIONS):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(n, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q, scale, found = x[:40], 1 + 1e-9, [(np.empty(0, np.int64), np.empty(0))] * 40
-    directions = np.random.default_rng(ann.SEED).standard_normal((65, projections))
+def recall_and_share(x, n_queries=40):
+    """recall@20 of the first rows as queries, and the share of rows that are scored for a query."""
+    n, scale = len(x), float(np.linalg.norm(x, axis=1).max()) * (1 + 1e-9)
+    q = x[:n_queries]
+    unit, found, scored = q / np.linalg.norm(q, axis=1, keepdims=True), [(np.empty(0, np.int64), np.empty(0))] * n_queries, 0
+    directions = np.random.default_rng(ann.SEED).standard_normal((x.shape[1] + 1, ann.PROJECTIONS))
     for a in range(0, n, ann.BLOCK_ROWS):
-        ann.Block(np.arange(a, min(a + ann.BLOCK_ROWS, n)), x[a : a + ann.BLOCK_ROWS], scale, directions).search(np.arange(40), q, q @ directions[:-1], scale, 20, found)
+        block = ann.Block(np.arange(a, min(a + ann.BLOCK_ROWS, n)), x[a : a + ann.BLOCK_ROWS], scale, directions)
+        block.search(np.arange(n_queries), q, unit @ directions[:-1], scale, 20, found)
+        scored += block.scored
     s = q @ x.T
-    s[np.arange(40), np.arange(40)] = -np.inf
+    s[np.arange(n_queries), np.arange(n_queries)] = -np.inf
     best = np.argpartition(-s, 20, axis=1)[:, :20]
-    return sum(len(set(b.tolist()) & set(ids.tolist())) for b, (ids, _) in zip(best, found, strict=True)) / 800
+    return sum(len(set(b.tolist()) & set(ids.tolist())) for b, (ids, _) in zip(best, found, strict=True)) / (20 * n_queries), scored / n / n_queries
 
 
 def test_recall_without_clusters():
-    assert unclustered_recall(65_536) >= 0.96
+    x = np.random.default_rng(4).normal(size=(65_536, 64))
+    recall, share = recall_and_share(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert recall >= 0.95 and share <= 0.2, (recall, share)
+
+
+def test_recall_with_clusters():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100, 64)).repeat(200, axis=0) + rng.normal(size=(20_000, 64)) * 0.4
+    recall, share = recall_and_share(rng.permutation(x))
+    assert recall >= 0.95 and share <= 0.02, (recall, share)
+
+
+def test_query_rows_that_share_an_id(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [-1.0, -1.0])], "vec_id long, embedding array<float>")
+    got = ann.nearest(v, v.where("vec_id = 0"), k=3).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 1] and all(r.query_id == 0 for r in got)
 
 
 # 4
@@ -177,8 +194,8 @@ def test_simhash_of_random_prints(spark):
     fps = np.concatenate([base, base ^ np.left_shift(1, rng.integers(0, 62, 60)), base ^ (np.left_shift(1, rng.integers(0, 31, 60)) | np.left_shift(1, rng.integers(31, 62, 60))), rng.integers(-(2**63), 2**63 - 1, 200)])
     df = spark.createDataFrame([(k, int(f)) for k, f in enumerate(fps)], "doc_id long, fp long")
     want = least_reachable(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a) if (int(fps[a]) ^ int(fps[b])) % (1 << 64) in _balls()])
-    for hot in (2000, 0):
-        assert {r.doc_id: r.component_id for r in sim.with_components(df, 2, hot=hot).collect()} == want
+    for how in ({}, {"hot": 0}, {"options": (2,)}, {"options": (3,), "histogram_bits": 5}, {"options": (4,), "histogram_bits": 3, "hot": 1}):
+        assert {r.doc_id: r.component_id for r in sim.with_components(df, 2, **how).collect()} == want, how
     with pytest.raises(ValueError):
         sim.link_fingerprints(df.selectExpr("fp", "doc_id AS rep"), 3)
 
@@ -187,6 +204,37 @@ def _balls():
     return {0} | {1 << a for a in range(64)} | {1 << a | 1 << b for a in range(64) for b in range(64)}
 
 
+def test_thresholds_do_the_work(spark):
+    """Values that many share are avoided by thresholds of their own, without midpoints, and no link is lost."""
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    base[:1500] = base[:1500] & ~np.uint64(0xFFFF) | np.uint64(0x1234)  # one part's value is that of half of them
+    near = base[:200] ^ (np.uint64(1) << rng.integers(0, 31, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(31, 62, 200).astype(np.uint64))
+    fps = np.unique(np.concatenate([base, near]))
+    df = common.checkpointed(spark.createDataFrame([(k, int(f)) for k, f in enumerate(fps.view(np.int64))], "rep long, fp long"))
+    plan = sim.make_plan(df, 2, (4,))
+    assert all((c <= sim.HOT).all() for c in plan.counts)
+    t = plan.thresholds([sim.part_value(fps, g) for g in plan.parts])
+    assert (t.sum(axis=0) + 4 == 3).all() and len({tuple(x) for x in t.T}) > 1  # unequal, and not the same for all
+    keys = sim._keys(df, plan, sim.crowded_values(df, plan, sim.HOT))
+    assert keys.where("kind = -1").count() == 0
+    links = sim.link_keys(keys, 2, 4).collect()
+    balls = _balls()
+    at = {int(f): k for k, f in enumerate(fps)}
+    want = least_reachable(range(len(fps)), [(k, at[int(f) ^ m]) for k, f in enumerate(fps) for m in balls if m and int(f) ^ m in at])
+    assert least_reachable(range(len(fps)), [(r.a, r.b) for r in links]) == want and len(set(want.values())) <= 3000
+
+
+def test_parts_widen_with_the_table():
+    def plan(n, parts):
+        groups = [list(range(64 * k // parts, 64 * (k + 1) // parts)) for k in range(parts)]
+        return sim.Plan.of(2, groups, [np.full(1 << 16, n >> 16) for _ in groups], sim.ROW_COST)
+
+    best = [min(sim.PART_OPTIONS, key=lambda p, n=n: plan(n, p).estimate()) for n in (1 << 20, 1 << 30, 1 << 36)]
+    assert best == sorted(best, reverse=True) and best[-1] == 2
+    assert plan(1 << 36, 2).estimate() < 10_000  # comparisons and rows, in comparisons
+
+
 def test_thresholds_keep_the_guarantee():
     rng = np.random.default_rng(0)
     counts = [rng.integers(0, 50, 1 << 16) for _ in range(4)]
@@ -220,7 +268,7 @@ def test_hot_values_lose_no_pair(spark):
     distinct = common.checkpointed(spark.createDataFrame(rows, "fp binary, rep long, label long").dropDuplicates(["fp"]))
     seen = np.array([np.frombuffer(x, "<u2") for x, _, _ in rows]).reshape(-1, 8, 4)
     parts = [list(range(16 * p, 16 * p + 16)) for p in range(4)]
-    plans = [sim.Plan.of(3, parts, [np.bincount(seen[:, k, p], minlength=1 << 16) for p in range(4)]) for k in range(8)]
+    plans = [(3, parts, [np.bincount(seen[:, k, p], minlength=1 << 16) for p in range(4)]) for k in range(8)]
 
     def linked(hot, **how):
         links = near_dup.lane_candidates(near_dup.lane_keys(distinct, plans, hot), near_dup.most_bits(0.8, slack=1.4), 8, **how).collect()
@@ -363,8 +411,9 @@ def test_token_output(spark, docs, none, library, tmp_path, monkeypatch):
 # 7
 
 
-@pytest.mark.parametrize("block", [200_000, 5])
-def test_decontamination(spark, docs, none, block):
+@pytest.mark.parametrize(("block", "texts"), [(200_000, 9), (5, 1000), (5, 0)])
+def test_decontamination(spark, docs, none, block, texts, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", texts)
     items = [(1, "two three four FIVE six seven eight nine ten eleven"), (2, "Same-line"), (3, None), (4, "..."), (None, "same line"), (2, "same line"), (10, "word3 word4 word5 word6 word7 word8 word9 word10 word11 word12 word13 word14")]
     frame = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_contamination(docs.withColumnRenamed("n_chars", "items"), frame, block_words=block).collect()
@@ -422,6 +471,7 @@ def test_lm_scoring(spark, docs, none, small, monkeypatch):
     if small:
         monkeypatch.setattr(lm_scoring, "MERGE_WORDS", 300)
         monkeypatch.setattr(lm_scoring, "MERGE_PAIRS", 2000)
+        monkeypatch.setattr(lm_scoring, "PAIR_FOLDERS", 5)
     train = common.F.col("rep") % 3 != 1
     got = lm_scoring.score_documents(docs.withColumnRenamed("n_chars", "score"), train, segment_bytes=4000 if small else 1 << 26, chunk_tokens=100 if small else 1 << 20).collect()
     assert len(got) == len(TEXTS)
@@ -439,7 +489,7 @@ def test_lm_scoring(spark, docs, none, small, monkeypatch):
         score = 0.0
         for h, x, p in zip([None, *w], w, p0, strict=False):
             q = pairs.get((h, x), 0).bit_length()
-            about = min((3 * 2 ** (q - 1) - 1) / 2 if q else 0, c.get(h, 0), c.get(x, 0))
+            about = min(2 ** (q - 1) if q else 0, c.get(h, 0), c.get(x, 0))
             score += math.log10(0.75 * p + 0.25 * about / c[h] if c.get(h) else p)
         want.append((str(i), k % 3 != 1, len(w), sum(x in c for x in w), n, round(sum(map(math.log10, p0)), 5), round(score, 5)))
     have = [(str(r.doc_id), r.train, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got]
@@ -449,6 +499,53 @@ def test_lm_scoring(spark, docs, none, small, monkeypatch):
     assert lm_scoring.score_documents(docs, common.F.lit(False)).where("n_known = 0").count() == len(TEXTS)
 
 
+def test_probabilities_add_up_to_one_at_most(spark):
+    """Of all words after each word, and of an unknown one: the score of a text is a log10 probability."""
+    texts = ["a b a c a b a d a b a e a f", "b b b b a", "c d", "a b c d e f", "e e a e a"] * 3 + ["f a f b f c f d f e"]
+    words = sorted({w for t in texts for w in t.split()}) + ["unknown"]
+    asked = [f"{h} {w}" for h in words for w in words] + words
+    rows = [(k, t, True) for k, t in enumerate(texts)] + [(1000 + k, t, False) for k, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, common.F.col("train")).where("NOT train").collect()}
+    score = {t: got[1000 + k] for k, t in enumerate(asked)}
+    # of "h w" and of "w" alone the ends differ by what follows h: p(h) p(w | h) p(end | w) over p(h) p(end | h), and p(w) p(end | w) where w starts a text
+    base = {r.doc_id: r.base_score for r in lm_scoring.score_documents(docs, common.F.col("train"), weight=0.0).where("NOT train").collect()}
+    assert all(abs(base[1000 + k] - sum(base[1000 + asked.index(w)] for w in t.split()) + (len(t.split()) - 1) * _end(texts)) < 1e-9 for k, t in enumerate(asked))
+    c, follows = _counts(texts)
+    for h in [*words, None]:
+        total = 0.0
+        for w in [*words, None]:
+            n, v = sum(c.values()), len(c)
+            p0 = (c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+            q = follows.get((h, w), 0).bit_length()
+            total += 0.75 * p0 + 0.25 * min(2 ** (q - 1) if q else 0, c.get(h, 0), c.get(w, 0)) / c[h] if c.get(h) else p0
+        assert total <= 1 + 1e-9, h
+    for t in asked:
+        want, before = 0.0, None
+        for w in [*t.split(), None]:
+            n, v = sum(c.values()), len(c)
+            p0 = (c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+            q = follows.get((before, w), 0).bit_length()
+            want += math.log10(0.75 * p0 + 0.25 * min(2 ** (q - 1) if q else 0, c.get(before, 0), c.get(w, 0)) / c[before] if c.get(before) else p0)
+            before = w
+        assert abs(score[t] - want) < 1e-9
+
+
+def _counts(texts):
+    c, follows = {}, {}
+    for t in texts:
+        w = [*t.split(), None]
+        for h, x in zip([None, *w], w, strict=False):
+            c[x] = c.get(x, 0) + 1
+            follows[h, x] = follows.get((h, x), 0) + 1
+    return c, follows
+
+
+def _end(texts):
+    c, _ = _counts(texts)
+    return math.log10((c[None] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1)))
+
+
 def test_log_filter():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 2**63, 20000).astype(np.uint64)
