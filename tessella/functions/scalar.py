@@ -93,3 +93,16 @@ def int_div(x: Column, y: Column) -> Column:
 
 def to_text(x: Column) -> Column:
     return x.cast("string")
+
+
+def random_int(low: int, high: int, seed: int | None = None) -> Column:
+    """Whole numbers from low to high, both included."""
+    return F.floor(F.rand(seed) * (high - low + 1)).cast("long") + low
+
+
+def random_double(low: float, high: float, seed: int | None = None) -> Column:
+    return F.rand(seed) * (high - low) + low
+
+
+def random_bool(share: float = 0.5, seed: int | None = None) -> Column:
+    return F.rand(seed) < share

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import int_div
+from ..plans.dialect import run_query
 from ..session import register_views, table
 from .registry import query
 
@@ -17,9 +18,9 @@ def scan_table(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "region").select("r_regionkey", "r_name")
 
 
-@query("scan_values", "SELECT * FROM (VALUES (1, 'João', 30), (2, 'Maria', 25), (3, 'Pedro', 35)) AS t(id, nome, idade)")
+@query("scan_values", "SELECT * FROM (VALUES (1, 'oak', 2.5), (2, 'élan', 0.5), (3, NULL, -4.0)) AS t(code, label, weight)")
 def scan_values(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES (1, 'João', 30), (2, 'Maria', 25), (3, 'Pedro', 35) AS t(id, nome, idade)")
+    return spark.sql("SELECT * FROM VALUES (1, 'oak', 2.5), (2, 'élan', 0.5), (3, NULL, -4.0) AS t(code, label, weight)")
 
 
 @query("derived_table", "SELECT o_orderstatus, n FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus) t WHERE n > 100")
@@ -213,16 +214,31 @@ def in_subquery(spark: SparkSession, d: str) -> DataFrame:
 _NOT_IN = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"
 
 
+def not_in(df: DataFrame, x: Column, values: DataFrame, v: str) -> DataFrame:
+    """Rows whose x is NOT IN the column v of values: all if there is no value, none if one is null, else those with an x that is no value.
+
+    An anti join on the equality, which can be a shuffled one, and one aggregate. Spark's own plan broadcasts all values.
+    """
+    told = values.agg(F.count(F.lit(1)).alias("_every"), F.count(v).alias("_known"))
+    left = df.join(values.select(F.col(v).alias("_v")), x == F.col("_v"), "left_anti")
+    return left.crossJoin(F.broadcast(told)).where((F.col("_every") == 0) | ((F.col("_every") == F.col("_known")) & x.isNotNull())).drop("_every", "_known")
+
+
 @query("not_in_subquery", _NOT_IN)
 def not_in_subquery(spark: SparkSession, d: str) -> DataFrame:
-    register_views(spark, d, ("customer", "orders"))
-    return spark.sql(_NOT_IN)
+    return not_in(table(spark, d, "customer").select("c_custkey"), F.col("c_custkey"), table(spark, d, "orders").where("o_totalprice > 200000"), "o_custkey")
 
 
 @query("not_in_subquery_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 0) FROM region)")
 def not_in_subquery_null(spark: SparkSession, d: str) -> DataFrame:
     register_views(spark, d, ("nation", "region"))
-    return spark.sql("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 0) FROM region)")
+    return run_query(spark, "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 0) FROM region)")
+
+
+@query("not_in_subquery_text", "SELECT c_custkey FROM customer WHERE c_custkey + 1 NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AND c_acctbal > 0")
+def not_in_subquery_text(spark: SparkSession, d: str) -> DataFrame:
+    register_views(spark, d, ("customer", "orders"))
+    return run_query(spark, "SELECT c_custkey FROM customer WHERE c_custkey + 1 NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AND c_acctbal > 0")
 
 
 @query("exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
@@ -238,18 +254,20 @@ def not_exists(spark: SparkSession, d: str) -> DataFrame:
 
 @query("any_subquery", "SELECT p_partkey FROM part WHERE p_partkey = ANY (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def any_subquery(spark: SparkSession, d: str) -> DataFrame:
-    from ..plans.dialect import rewrite
-
     register_views(spark, d, ("part", "lineitem"))
-    return spark.sql(rewrite("SELECT p_partkey FROM part WHERE p_partkey = ANY (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)"))
+    return run_query(spark, "SELECT p_partkey FROM part WHERE p_partkey = ANY (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 
 
 @query("any_subquery_compare", "SELECT p_partkey FROM part WHERE p_retailprice > ANY (SELECT c_acctbal FROM customer WHERE c_acctbal > 1500)")
 def any_subquery_compare(spark: SparkSession, d: str) -> DataFrame:
-    from ..plans.dialect import rewrite
-
     register_views(spark, d, ("part", "customer"))
-    return spark.sql(rewrite("SELECT p_partkey FROM part WHERE p_retailprice > SOME (SELECT c_acctbal FROM customer WHERE c_acctbal > 1500)"))
+    return run_query(spark, "SELECT p_partkey FROM part WHERE p_retailprice > SOME (SELECT c_acctbal FROM customer WHERE c_acctbal > 1500)")
+
+
+@query("any_subquery_expression", "SELECT p_partkey FROM part WHERE p_size * 2 + 1 < ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def any_subquery_expression(spark: SparkSession, d: str) -> DataFrame:
+    register_views(spark, d, ("part", "nation"))
+    return run_query(spark, "SELECT p_partkey FROM part WHERE p_size * 2 + 1 < ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 
 
 @query("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
@@ -263,8 +281,10 @@ _CORRELATED = "SELECT o.o_orderkey FROM orders o WHERE o.o_totalprice = (SELECT
 
 @query("correlated_scalar", _CORRELATED)
 def correlated_scalar(spark: SparkSession, d: str) -> DataFrame:
-    register_views(spark, d, ("orders",))
-    return spark.sql(_CORRELATED)
+    """The subquery's maximum as a window: one shuffle, where a join with the aggregate takes two."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    most = F.max("o_totalprice").over(Window.partitionBy("o_custkey"))
+    return orders.withColumn("_most", most).where("o_totalprice = _most AND o_custkey IS NOT NULL").select("o_orderkey")
 
 
 # Joins
@@ -442,6 +462,12 @@ def agg_group_concat(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("r_name").agg(F.expr("listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name)").alias("nations"))
 
 
+@query("agg_group_concat_distinct", "SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM part GROUP BY p_brand")
+def agg_group_concat_distinct(spark: SparkSession, d: str) -> DataFrame:
+    register_views(spark, d, ("part",))
+    return run_query(spark, "SELECT p_brand, GROUP_CONCAT(DISTINCT p_type) AS types FROM part GROUP BY p_brand")
+
+
 @query("agg_stddev", "SELECT l_returnflag, round(stddev(l_quantity), 4) AS s FROM lineitem GROUP BY l_returnflag")
 def agg_stddev(spark: SparkSession, d: str) -> DataFrame:
     return _lineitem(spark, d).groupBy("l_returnflag").agg(F.round(F.stddev("l_quantity"), 4).alias("s"))

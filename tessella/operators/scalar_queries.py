@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,21 +164,44 @@ def fn_uuid_valid(spark: SparkSession, d: str) -> DataFrame:
     return _nation(spark, d).select("n_nationkey", S.is_uuid(text).alias("ok"))
 
 
-@query("fn_crc32")
+@query("fn_crc32", "SELECT * FROM (VALUES ('123456789', 3421780262::BIGINT), ('', 0), ('a', 3904355907), ('The quick brown fox jumps over the lazy dog', 1095738169), (NULL, NULL)) AS t(s, v)")
 def fn_crc32(spark: SparkSession, d: str) -> DataFrame:
-    return _nation(spark, d).select("n_nationkey", F.crc32(F.col("n_name").cast("binary")).alias("v"))
+    texts = spark.createDataFrame([("123456789",), ("",), ("a",), ("The quick brown fox jumps over the lazy dog",), (None,)], "s string")
+    return texts.select("s", F.crc32(F.col("s").cast("binary")).alias("v"))
 
 
-@query("fn_uuid")
+@query("fn_uuid", "SELECT count(*) AS n, count(*) AS differ, true AS formed FROM orders")
 def fn_uuid(spark: SparkSession, d: str) -> DataFrame:
-    return _nation(spark, d).select("n_nationkey", F.uuid().alias("v"))
+    """All differ, and all have the form of random UUIDs."""
+    made = table(spark, d, "orders").select(F.uuid().alias("v"))
+    random = F.col("v").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return made.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("differ"), F.every(S.is_uuid(F.col("v")) & random).alias("formed"))
 
 
-@query("fn_random_string")
+@query("fn_random_string", "SELECT n_nationkey, 12 AS size, true AS formed FROM nation")
 def fn_random_string(spark: SparkSession, d: str) -> DataFrame:
-    return _nation(spark, d).select("n_nationkey", F.randstr(12, 7).alias("v"), F.uniform(1, 6, 7).alias("die"), (F.rand(7) < 0.5).alias("coin"))
+    made = _nation(spark, d).select("n_nationkey", F.randstr(12, 7).alias("v"))
+    return made.select("n_nationkey", F.length("v").alias("size"), F.col("v").rlike("^[0-9A-Za-z]*$").alias("formed"))
+
+
+@query("fn_random_numbers", "SELECT 1::BIGINT AS least, 6::BIGINT AS largest, true AS within, true AS mixed FROM (SELECT 1)")
+def fn_random_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Whole numbers reach both bounds, fractions keep to theirs, and about a quarter of the truth values are true."""
+    made = table(spark, d, "orders").select(S.random_int(1, 6, 7).alias("die"), S.random_double(-2.0, 3.0, 7).alias("x"), S.random_bool(0.25, 7).alias("b"))
+    return made.agg(F.min("die").alias("least"), F.max("die").alias("largest"), F.every((F.col("x") >= -2) & (F.col("x") < 3)).alias("within"), F.avg(F.col("b").cast("int")).between(0.2, 0.3).alias("mixed"))
+
+
+@query("fn_shuffle", "SELECT n_nationkey, 50::BIGINT AS n, 1275::BIGINT AS s FROM nation")
+def fn_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """A list's values in another order: as many, with the same sum."""
+    mixed = F.shuffle(F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long")), 7)
+    made = _nation(spark, d).select("n_nationkey", mixed.alias("v"))
+    return made.select("n_nationkey", F.size(F.array_distinct("v")).cast("long").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
 
 
-@query("fn_now")
+@query("fn_now", "SELECT true AS formed, true AS recent")
 def fn_now(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("now"))
+    """The time to the second, as text: between an hour before the query was made and an hour after."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    made = spark.range(1).select(now.alias("v"), F.to_timestamp(now, "yyyy-MM-dd HH:mm:ss").alias("t"))
+    return made.select(F.col("v").rlike("^\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d$").alias("formed"), (F.abs(F.unix_timestamp("t") - F.lit(int(time.time()))) < 3600).alias("recent"))

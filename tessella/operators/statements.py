@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..session import table
+from ..session import shared_dir, table
 from ..sources.files import read_csv, write_csv
 from .registry import query
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where Spark is local."""
-    set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-    home = set_to.get() if set_to.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if home:
-        return f"{home.rstrip('/')}/tessella-{next(tempfile._get_candidate_names())}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tessella-")
+    """A new folder that all executors share; it is removed when Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/engine-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear)
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM has ended, and with it a local session's folder
+            return
 
 
 def engine(spark: SparkSession, d: str, **tables: str) -> Engine:

@@ -2,43 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import table
+from ..session import checkpointed, table
 from .registry import query
 
 
-def _text_length(df: DataFrame, name: str) -> Column:
-    return F.avg(F.length(name)) if isinstance(df.schema[name].dataType, T.StringType) else F.lit(None).cast("double")
-
-
 def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, row_count, distinct_count, null_count, min, max (text), avg_length: all columns in one aggregate."""
+    """column, row_count, distinct_count, null_count, min, max (text), avg_length.
+
+    Each column is grouped by its values once, and the rest is reckoned from the groups; one aggregate for all columns
+    would write each row once for each column.
+    """
     names = columns or [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    measures = [F.count(F.lit(1)).alias("_n")]
-    for k, n in enumerate(names):
+    out: DataFrame | None = None
+    for n in names:
         c = F.col(f"`{n}`")
-        measures += [F.count_distinct(c).alias(f"d{k}"), F.count_if(c.isNull()).alias(f"z{k}"), F.min(c).cast("string").alias(f"a{k}"), F.max(c).cast("string").alias(f"b{k}"), _text_length(df, n).alias(f"l{k}")]
-    one = df.agg(*measures)
-    rows = F.array(*[
-        F.struct(F.lit(n).alias("column"), F.col("_n").alias("row_count"), F.col(f"d{k}").alias("distinct_count"), F.col(f"z{k}").alias("null_count"), F.col(f"a{k}").alias("min"), F.col(f"b{k}").alias("max"), F.col(f"l{k}").alias("avg_length"))
-        for k, n in enumerate(names)
-    ])
-    return one.select(F.inline(rows))
+        values = df.groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        length = F.sum(F.length("v") * F.col("n")) / F.sum(F.when(F.col("v").isNotNull(), F.col("n"))) if isinstance(df.schema[n].dataType, T.StringType) else F.lit(None).cast("double")
+        one = values.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count("v").alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+            F.min("v").cast("string").alias("min"), F.max("v").cast("string").alias("max"), length.alias("avg_length"),
+        ).select(F.lit(n).alias("column"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else df.sparkSession.createDataFrame([], "column string, row_count long, distinct_count long, null_count long, min string, max string, avg_length double")
 
 
 def ranks(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """df with out, its rows' numbers from 1 in the given order, which must be total.
 
-    Ranges of the order are numbered side by side; only the ranges' sizes meet in one task.
+    Ranges of the order are numbered side by side; only the ranges' sizes meet in one task. The ranges are written to
+    the shared folder, since each plan over them would else draw bounds of its own and number other ranges than it counts.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    sizes = ranged.groupBy("_range").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(out, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_before")
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)  # the rest of the number counts a partition's rows from 0
+    sizes = ranged.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
+    own = F.col("_id") - F.shiftleft(part, 33) + 1
+    return ranged.withColumn("_range", part).join(F.broadcast(before), "_range").withColumn(out, (own + F.col("_before")).cast("long")).drop("_range", "_id", "_before")
 
 
 def equal_depth_histogram(df: DataFrame, column: str, tie: list[str], buckets: int = 100) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Sessions and tables."""
+"""Sessions, tables and the folder that all executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -31,3 +33,24 @@ def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TA
     """Temporary views of the tables that sf_dir has."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where Spark is local."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tessella-")
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as it now is, in the shared folder: rows keep their partition and place, whatever is read of them."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -37,13 +37,27 @@ def check_rows(df: DataFrame, schema: T.StructType, constraints: list[dict[str,
         raise ConstraintViolation(f"{table}: {next(name for k, (name, _) in enumerate(tests) if row[0][k])} is broken")
 
 
-def check_unique(df: DataFrame, columns: list[str], table: str) -> None:
-    """Keys with a null are exempt; counts are partial before the shuffle."""
-    known = df.dropna(subset=columns).groupBy(*columns).count().where("count > 1")
-    if _any(known):
+def check_unique(new: DataFrame, old: DataFrame | None, columns: list[str], table: str) -> None:
+    """New keys differ from one another and from the old ones, of which only those that meet a new key are looked at.
+
+    Keys with a null are exempt; counts are partial before the shuffle.
+    """
+    keys = new.dropna(subset=columns).select(*columns)
+    broken = _any(keys.groupBy(*columns).count().where("count > 1"))
+    if not broken and old is not None:
+        theirs = old.select(*(F.col(c).alias(f"_o{k}") for k, c in enumerate(columns)))
+        broken = _any(theirs.join(keys, reduce(lambda a, b: a & b, (F.col(f"_o{k}") == F.col(c) for k, c in enumerate(columns))), "left_semi"))
+    if broken:
         raise ConstraintViolation(f"{table}: UNIQUE ({', '.join(columns)}) is broken")
 
 
+def check_orphans(child: DataFrame, columns: list[str], before: DataFrame, after: DataFrame, keys: list[str], table: str) -> None:
+    """No child's key is among the parent's keys that are gone; other children are not looked at."""
+    gone = before.select(*keys).distinct().join(after.select(*keys).distinct(), keys, "left_anti").toDF(*(f"_g{k}" for k in range(len(keys))))
+    if _any(child.join(gone, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_g{k}") for k, c in enumerate(columns))), "left_semi")):
+        raise ConstraintViolation(f"{table}: FOREIGN KEY ({', '.join(columns)}) is broken")
+
+
 def check_foreign(child: DataFrame, columns: list[str], parent: DataFrame, keys: list[str], table: str) -> None:
     """Every key of the child without a null is in the parent."""
     mine = child.dropna(subset=columns).select(*(F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)))

@@ -62,6 +62,28 @@ def test_histogram_of_few_rows_and_selectivity(spark):
     assert statistics.selectivity("=", 4) == 0.25 and round(statistics.join_selectivity(10, 20, 0.5), 6) == 0.075
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ranks_of_many_rows(spark, duck, adaptive):
+    """Several splits, and columns of the order that nothing else needs."""
+    path = "/root/testdata/sf0.1/lineitem.parquet"
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        lines = spark.read.parquet(path)
+        tie = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+        found = statistics.ranks(lines, ["l_quantity", *tie], "r").agg({"r": "max", "*": "count"}).first()
+        assert set(found) == {600_000}
+        assert statistics.ranks(lines, ["l_quantity", *tie], "r").select("r").distinct().count() == 600_000
+        got = statistics.spearman(lines, "l_extendedprice", "l_quantity", tie).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    order = ", ".join(tie)
+    want = duck.sql(f"SELECT corr(x, y) FROM (SELECT row_number() OVER (ORDER BY l_extendedprice, {order}) x, row_number() OVER (ORDER BY l_quantity, {order}) y FROM '{path}')").fetchall()[0][0]
+    assert abs(got - want) < 1e-9
+
+
 def test_stream_equals_batch(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").write.parquet(str(tmp_path / "in"))
     q = tumbling(event_stream(spark, str(tmp_path / "in")), "1 day").writeStream.outputMode("complete").format("memory").queryName("tumbled").start()
