@@ -92,6 +92,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 Lane = tuple[int, list[list[int]], list[np.ndarray]]
 
 
+class Sent:
+    """What goes to workers: lanes and something more. A worker makes the plans once, not in each task."""
+
+    def __init__(self, lanes: list[Lane], more: object):
+        self.lanes, self.more, self._plans = lanes, more, None
+
+    def plans(self) -> list[Plan]:
+        if self._plans is None:
+            self._plans = [Plan.of(*x) for x in self.lanes]
+        return self._plans
+
+
 def _summed(rows: DataFrame, size: int) -> dict[int, np.ndarray]:
     """By kind: the sums of counts that tasks give for some places (kind, some, at and n as lists of 32-bit numbers)."""
 
@@ -183,10 +195,10 @@ def lane_crowds(distinct: DataFrame, lanes: list[Lane], hot: int = HOT) -> dict[
     maybe = [np.packbits(within(c, bits, d)[d] > hot) for c, (bits, d) in zip(counts, reach, strict=True)]  # own rows and probes can be no more
     if not any(m.any() for m in maybe):
         return {}
-    shared = distinct.sparkSession.sparkContext.broadcast((lanes, maybe))
+    shared = distinct.sparkSession.sparkContext.broadcast(Sent(lanes, maybe))
 
     def run(batches: Iterator[pa.RecordBatch], what: int) -> Iterator[pa.RecordBatch]:
-        plans, maybe, part = [Plan.of(*x) for x in shared.value[0]], [np.unpackbits(m).astype(bool) for m in shared.value[1]], 0
+        plans, maybe, part = shared.value.plans(), [np.unpackbits(m).astype(bool) for m in shared.value.more], 0
         found = np.zeros((len(maybe), len(maybe[0])), np.uint32)
         for batch in batches:
             part, last = batch.column("part")[0].as_py() if batch.num_rows else part, -1
@@ -215,10 +227,10 @@ def lane_keys(distinct: DataFrame, lanes: list[Lane], hot: int = HOT, crowds: di
     of probing ones: every pair of which one probes meets in one such cell at least. Values without a probe have no rows.
     """
     crowds = lane_crowds(distinct, lanes, hot) if crowds is None else crowds
-    shared = distinct.sparkSession.sparkContext.broadcast((lanes, crowds))
+    shared = distinct.sparkSession.sparkContext.broadcast(Sent(lanes, crowds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans, crowds = [Plan.of(*x) for x in shared.value[0]], shared.value[1]
+        plans, crowds = shared.value.plans(), shared.value.more
 
         def dealt(kind: int, key: np.ndarray, at: np.ndarray, spot: np.ndarray, probes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
             if kind not in crowds:
@@ -426,7 +438,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     A first search names as few candidates as connect what all would, so that a group of copies costs little more than
     its size. Where some of them prove not alike and leave their groups apart, a second names more and a third all that
-    are left. Rows that share an id are one document.
+    are left. Rows that share an id are one document. Other columns are left out, whatever their names.
     """
     known = docs.where(F.col(id_col).isNotNull())
     prints = checkpointed(lane_fingerprints(known, words, id_col, text_col))

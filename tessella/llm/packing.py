@@ -28,7 +28,10 @@ _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source (null: empty), n_tokens, ids (little-endian, 16 bits each if they all fit, else 32), wide, nth (row of its task)."""
+    """doc_id, source (null: empty), n_tokens, ids (little-endian, 16 bits each if they all fit, else 32), wide, nth (row of its task).
+
+    Null and empty texts are end_id alone. Other columns of docs are left out, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer).encode, 0

@@ -59,7 +59,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (long) of every row; null and empty texts have fp 0."""
+    """doc_id, fp (long) of every row, and no other column, whatever docs has; null and empty texts have fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +105,10 @@ def within(counts: np.ndarray, width: int, most: int) -> np.ndarray:
     """[r, v]: fingerprints whose part differs from v in at most r bits."""
     at = np.zeros((most + 1, len(counts)), np.int64)
     at[0] = counts
-    index = np.arange(len(counts))
     for b in range(width):
-        flipped = at[:, index ^ (1 << b)]
-        at[1:] += flipped[:-1]
+        halves = at.reshape(most + 1, -1, 2, 1 << b)
+        flipped = halves[:-1, :, ::-1].copy()
+        halves[1:] += flipped
     return np.cumsum(at, axis=0)
 
 

@@ -192,7 +192,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     The payload is the text in UTF-8; null counts as empty. Of rows with equal payloads of min_bytes at least, those
     with the largest id are responses and the others revisit them; a null id is below any other. Repeated rows each
-    give a record; an empty table writes no archive. Null urls give records without a target.
+    give a record; an empty table writes no archive. Null urls give records without a target. Other columns are left out,
+    whatever their names.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     typed = with_types(rows, "page_id", "payload", min_bytes)

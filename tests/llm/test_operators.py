@@ -456,6 +456,17 @@ def test_language_id(spark, none):
     assert {r.lang_pred for r in language_id.identify(df, language_id.fit(none)).collect()} == {"und"}
 
 
+def test_more_languages_than_sample_rows(spark):
+    """The most frequent ones are learnt, within the bound."""
+    words = {"aa": "tak tok tik", "bb": "zum zam zim", "cc": "pol pil pul", "dd": "gre gro gru", "ee": "wof waf wuf"}
+    rows = [(k, w, lang) for n, (lang, w) in enumerate(words.items()) for k in range(100 * n, 100 * n + 10 * (n + 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, sample_rows=3)
+    assert set(model.languages) <= {"cc", "dd", "ee"} and len(model.languages) <= 3
+    model = language_id.fit(df, sample_rows=100)
+    assert set(model.languages) == set(words) and all(r.lang_pred == r.lang for r in language_id.identify(df, model).collect())
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_language_id_held_out(spark):
     sf = "/root/testdata/sf0.01"
@@ -564,6 +575,8 @@ def test_clashing_names(spark):
     assert line_dedup.dedup_lines(plain, min_docs=2).where("text <> 'same text' AND _kept IN ('x', 'y') AND n_dropped = 1").count() == 2
     assert near_dup.drop_near_duplicates(plain).where("_gone IN ('x', 'y')").count() == 2
     assert decontaminate.find_contamination(df, spark.createDataFrame([(1, "that is")], "item_id long, text string")).where("size(spans) = 1 AND `a.b` = 'y' AND _text = 'y'").count() == 1
+    for frame in (sim.with_components(sim.fingerprints(df)), near_dup.near_duplicates(df), packing.pack(packing.tokenize(df.withColumn("source", common.F.lit("s")), BYTE).cache())):
+        assert {r.doc_id for r in frame.collect()} == {1, 2}
     assert language_id.identify(df, language_id.fit(df.withColumn("lang", common.F.lit("en")))).where("lang_pred = 'en' AND _t IN ('x', 'y')").count() == 2
 
 
