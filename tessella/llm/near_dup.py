@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, n_partitions, stored
-from .components import components
-from .simhash import BITS, PARTS, Plan, group_bits, local_components, masks, part_value, shingle_hashes, within
+from .components import components, local_components
+from .simhash import BITS, PARTS, Plan, group_bits, masks, part_value, shingle_hashes, within
 
 WORDS = 5
 
@@ -34,9 +35,6 @@ HOT = 4_000
 #: Rows of a group, beyond which each row that probes is compared with all others at once.
 WIDE = 256
 
-#: Candidates that a row names in a group of the second search; the third names all.
-NAMED = 8
-
 #: Ids that are broadcast, so that the texts they choose stay where they are; more ids are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -188,6 +186,15 @@ def _places(plans: list[Plan], m: np.ndarray) -> Iterator[tuple[int, np.ndarray,
                         yield kind, v[p][go] ^ mask, go, np.ones(len(go), bool)
 
 
+def _met(plans: list[Plan], m: np.ndarray) -> np.ndarray:
+    """Of each row, two bits for each kind of the compared lanes: how many bits away it is met there, and one more; 3 for more."""
+    out = np.zeros(len(m), np.uint64)
+    for k, plan in enumerate(plans[:COMPARED]):
+        for p, t in enumerate(plan.thresholds([part_value(m[:, k], g) for g in plan.parts])):
+            out |= np.minimum(t + 1, 3).astype(np.uint64) << np.uint64(2 * (k * len(plan.parts) + p))
+    return out.view(np.int64)
+
+
 def lane_crowds(distinct: DataFrame, lanes: list[Lane], hot: int = HOT) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By kind: the keys (ascending) that have more than hot rows, all their rows, and those of them that probe."""
     counts = [c for _, _, counts in lanes for c in counts]
@@ -220,7 +227,7 @@ def lane_crowds(distinct: DataFrame, lanes: list[Lane], hot: int = HOT) -> dict[
 
 
 def lane_keys(distinct: DataFrame, lanes: list[Lane], hot: int = HOT, crowds: dict | None = None) -> DataFrame:
-    """kind (lane and part), key, sub, rep, label, fp (compared lanes), probes: each document's place in every part of every lane, and its probes.
+    """kind (lane and part), key, sub, rep, label, fp (compared lanes), met (see _met()), own, probes: each document's place in every part of every lane, and its probes.
 
     sub is 0, but for values that more than hot rows have (lane_crowds(), found here if not given). There the rows form
     blocks by a hash of the id, and those that probe form blocks of their own, and sub is a block of rows with a block
@@ -258,24 +265,75 @@ def lane_keys(distinct: DataFrame, lanes: list[Lane], hot: int = HOT, crowds: di
         for batch in batches:
             lanes, label, rep = _matrix(batch.column("fp")), batch.column("label"), batch.column("rep").to_numpy(zero_copy_only=False)
             fp = pa.array([x.tobytes() for x in lanes[:, :COMPARED]], pa.binary())
-            spot = _scatter(rep)
+            spot, met = _scatter(rep), pa.array(_met(plans, lanes))
+            last = -1
             for kind, *place in _places(plans, lanes):
+                own, last = kind != last, kind
                 for key, sub, at, probes in dealt(kind, place[0], place[1], spot, place[2]):
                     if len(key):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(sub), pa.array(rep[at]), label.take(pa.array(at)), fp.take(pa.array(at)), pa.array(probes)], ["kind", "key", "sub", "rep", "label", "fp", "probes"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(sub), pa.array(rep[at]), label.take(pa.array(at)), fp.take(pa.array(at)), met.take(pa.array(at)), pa.array(np.full(len(key), own)), pa.array(probes)], ["kind", "key", "sub", "rep", "label", "fp", "met", "own", "probes"])
+
+    return distinct.mapInArrow(run, "kind int, key long, sub long, rep long, label long, fp binary, met long, own boolean, probes boolean")
+
+
+def _nearest_first(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that connect n rows as all pairs i-j do, the nearest ones (ties: the first), and the rows' labels then.
 
-    return distinct.mapInArrow(run, "kind int, key long, sub long, rep long, label long, fp binary, probes boolean")
+    Each label takes its nearest pair to another one, labels merge, and so on.
+    """
+    label, taken, open_ = np.arange(n), [], np.arange(len(i))
+    while len(open_ := open_[label[i[open_]] != label[j[open_]]]):
+        rank = d[open_].astype(np.int64) << 32 | np.arange(len(open_))
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, label[i[open_]], rank)
+        np.minimum.at(best, label[j[open_]], rank)
+        one = open_[np.unique(best[best < np.iinfo(np.int64).max] & 0xFFFFFFFF)]
+        taken.append(one)
+        label = local_components(n, label[i[one]], label[j[one]])[label]
+    return np.concatenate([np.empty(0, np.int64), *taken]), label
+
+
+@dataclass
+class _Rows:
+    """Rows of places, sorted by place: kind, compared lanes, met, who is in its own place, and who probes."""
+
+    kind: np.ndarray
+    fp: np.ndarray
+    met: np.ndarray
+    own: np.ndarray
+    probes: np.ndarray
+    masks: np.ndarray
+    bits: int
+
+    def part(self, some: slice) -> _Rows:
+        return _Rows(self.kind[some], self.fp[some], self.met[some], self.own[some], self.probes[some], self.masks, self.bits)
+
+    def paired(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether one probes where the other's own place is, or both have theirs and one of them probes."""
+        return (self.own[i] | self.own[j]) & (self.probes[i] | self.probes[j])
+
+    def first_met(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs have met in no earlier kind: a pair counts where it meets first, so that it is not named again and again."""
+        earlier = np.zeros(len(i), bool)
+        x, kind = self.fp[i] ^ self.fp[j], self.kind[i]
+        for k, masks in enumerate(self.masks):
+            for p, mask in enumerate(masks):
+                at, two = k * len(masks) + p, np.uint64(2 * (k * len(masks) + p))
+                reach = np.maximum(self.met[i] >> two & np.uint64(3), self.met[j] >> two & np.uint64(3))
+                earlier |= (kind > at) & (np.bitwise_count(x[:, k] & mask) < reach)
+        return ~earlier
 
 
 class _Group:
-    """Rows of one place: lanes, documents, who probes, and a label for those known to be connected."""
+    """Rows of one place, and a label for those known to be connected."""
 
-    def __init__(self, fp: np.ndarray, rep: np.ndarray, probes: np.ndarray, label: np.ndarray, bits: int):
-        self.fp, self.rep, self.probes, self.bits = fp, rep, probes, bits
+    def __init__(self, rows: _Rows, label: np.ndarray):
+        self.rows, self.fp, self.bits = rows, rows.fp, rows.bits
         self.label = np.unique(label, return_inverse=True)[1]
+        self.step = max(1, (1 << 18) // len(self.fp))
 
     def near(self, some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of differing labels, one of them probing, that differ in few bits: both, and bits.
+        """Pairs of differing labels, one of them probing, that differ in few bits and meet here first: both, and bits.
 
         Half of the lanes, which are in more than bits already for most pairs, decide which pairs are looked at in full.
         """
@@ -284,116 +342,102 @@ class _Group:
             d += np.bitwise_count(self.fp[some, lane][:, None] ^ self.fp[others, lane])
         i, j = np.nonzero(d <= self.bits)
         i, j = some[i], others[j]
-        apart = (self.label[i] != self.label[j]) & (self.probes[i] | self.probes[j])
+        apart = (self.label[i] != self.label[j]) & self.rows.paired(i, j)
         i, j = i[apart], j[apart]
         full = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int32)
-        near = full <= self.bits
+        near = np.flatnonzero(full <= self.bits)
+        near = near[self.rows.first_met(i[near], j[near])]
         return i[near], j[near], full[near]
 
-    def merge(self, i: np.ndarray, j: np.ndarray) -> None:
-        self.label = local_components(len(self.label), self.label[i], self.label[j])[self.label]
-
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        """Near pairs that connect all that near pairs connect, about as many as rows.
-
-        Rows are compared with those of other labels alone, a few first, so that a group of copies costs little more
-        than its size.
-        """
-        a, b, at, step = [], [], 0, 1
-        most = max(1, (1 << 18) // len(self.rep))
-        while at < len(self.rep) and self.label.min() != self.label.max():
+        """Near pairs that connect all that near pairs connect, no more than rows: a few rows at a time take the nearest
+        pairs that they have with rows of other labels."""
+        a, b, every = [], [], np.arange(len(self.fp))
+        for at in range(0, len(every), self.step):
             common = np.bincount(self.label).argmax()
             rest = np.flatnonzero(self.label != common)
-            some = np.arange(at, min(at + step, len(self.rep)))
-            inside = some[self.label[some] == common]
-            for rows, others in ((inside, rest), (some[self.label[some] != common], np.arange(len(self.rep)))):
-                if not len(rows) or not len(others):
-                    continue
-                i, j, _ = self.near(rows, others)
-                while len(i):  # for each two labels, one pair at a time
-                    low, high = np.minimum(self.label[i], self.label[j]), np.maximum(self.label[i], self.label[j])
-                    one = np.unique(low * len(self.rep) + high, return_index=True)[1]
-                    _, first = np.unique(high[one], return_index=True)  # one for each higher label makes no circle
-                    one = one[first]
-                    a.append(i[one])
-                    b.append(j[one])
-                    self.merge(i[one], j[one])
-                    open_ = self.label[i] != self.label[j]
-                    i, j = i[open_], j[open_]
-            at, step = at + step, min(2 * step, most)
+            some = every[at : at + self.step]
+            inside = self.label[some] == common
+            found = [self.near(rows, others) for rows, others in ((some[inside], rest), (some[~inside], every)) if len(rows) and len(others)]
+            if found:
+                i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+                one, label = _nearest_first(int(self.label.max()) + 1, self.label[i], self.label[j], d)
+                a.append(i[one])
+                b.append(j[one])
+                self.label = np.unique(label[self.label], return_inverse=True)[1]
         return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
 
-    def named(self, each: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each row, its nearest rows of other labels, so many (None: all)."""
-        every = np.arange(len(self.rep))
-        step = max(1, (1 << 18) // len(self.rep))
-        for at in range(0, len(every), step):
-            i, j, d = self.near(every[at : at + step], every)
-            if each is not None and len(i):
-                order = np.lexsort((self.rep[j], d, i))
-                i, j = i[order], j[order]
-                starts = np.flatnonzero(np.diff(i, prepend=-1))
-                nth = np.arange(len(i)) - np.repeat(starts, np.diff(starts, append=len(i)))
-                i, j = i[nth < each], j[nth < each]
+    def all_apart(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All near pairs of differing labels; rows of the commonest label leave it to the others to name theirs."""
+        every = np.arange(len(self.fp))
+        rare = every[self.label != np.bincount(self.label).argmax()]
+        for at in range(0, len(rare), self.step):
+            i, j, _ = self.near(rare[at : at + self.step], every)
             yield i, j
 
 
-def _near(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, probes: np.ndarray, label: np.ndarray, bits: int, each: int | None, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+def _near(group: np.ndarray, rows: _Rows, rep: np.ndarray, label: np.ndarray, forest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Candidates among rows of the same group (rows are sorted by it): documents a < b.
 
-    forest: enough of them to connect all that candidates connect; else each row's nearest ones of other labels.
+    forest: enough of them to connect all that candidates connect, the nearest first; else all of different labels.
     """
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     sizes = np.diff(starts, append=len(group))
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     alone = sizes > (WIDE if forest else 1)
     for s, n in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True):
-        rows = slice(s, s + n)
-        if (label[rows] == label[s]).all():
+        some = slice(s, s + n)
+        if (label[some] == label[s]).all():
             continue
-        g = _Group(fp[rows], rep[rows], probes[rows], label[rows], bits)
-        for i, j in [g.forest()] if forest else g.named(each):
+        g = _Group(rows.part(some), label[some])
+        for i, j in [g.forest()] if forest else g.all_apart():
             a.append(s + i)
             b.append(s + j)
     if forest:  # all other groups at once: each row with the first of its group, then with the second, and so on
-        own, first = np.arange(len(group)), np.repeat(starts, sizes)
-        at, d = np.flatnonzero(np.repeat((sizes <= WIDE) & (sizes > 1), sizes)), 0
+        first = np.repeat(starts, sizes)
+        at, d, found = np.flatnonzero(np.repeat((sizes <= WIDE) & (sizes > 1), sizes)), 0, []
         while len(at := at[at > first[at] + d]):
             pivot = first[at] + d
-            open_ = (own[at] != own[pivot]) & (probes[at] | probes[pivot])
+            open_ = (label[at] != label[pivot]) & rows.paired(at, pivot)
             i, p = at[open_], pivot[open_]
-            near = np.bitwise_count(fp[i] ^ fp[p]).sum(axis=1, dtype=np.int32) <= bits
-            if near.any():
-                i, p = i[near], p[near]
-                a.append(p)
-                b.append(i)
-                own = local_components(len(own), own[i], own[p])[own]
+            apart = np.bitwise_count(rows.fp[i] ^ rows.fp[p]).sum(axis=1, dtype=np.int32)
+            near = np.flatnonzero(apart <= rows.bits)
+            near = near[rows.first_met(i[near], p[near])]
+            found.append((p[near], i[near], apart[near]))
             d += 1
+        if found:
+            p, i, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+            one, _ = _nearest_first(len(group), p, i, apart)
+            a.append(p[one])
+            b.append(i[one])
     a, b = rep[np.concatenate(a)], rep[np.concatenate(b)]
     apart = a != b
     return np.minimum(a, b)[apart], np.maximum(a, b)[apart]
 
 
-def lane_candidates(keys: DataFrame, bits: int, n: int, each: int | None = None, forest: bool = True) -> DataFrame:
+def lane_candidates(keys: DataFrame, lanes: list[Lane], bits: int, n: int, forest: bool = True) -> DataFrame:
     """a < b: documents that share a key, one of them probing there, and differ in at most bits of the compared lanes.
 
-    forest: so many of them that all which candidates connect is connected. Else those of different labels: the nearest
-    ones of each row and key, or all.
+    A pair counts in the first kind that it meets in, and in no other.
+
+    forest: so many of them that all which candidates connect is connected, the nearest first. Else all of different labels.
     """
 
+    masks = np.array([[sum(1 << b for b in g) for g in parts] for _, parts, _ in lanes[:COMPARED]], np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def pairs(kind, key, sub, rep, label, probes, fp) -> pa.RecordBatch:
+        def pairs(kind, key, sub, rep, label, met, own, probes, fp) -> pa.RecordBatch:
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (sub[1:] != sub[:-1])
-            a, b = _near(np.cumsum(new), fp, rep, probes, label, bits, each, forest)
+            a, b = _near(np.cumsum(new), _Rows(kind, fp, met.view(np.uint64), own, probes, masks, bits), rep, label, forest)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "sub", "rep", "label", "probes")] + [_matrix(batch.column("fp"))]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "sub", "rep", "label", "met", "own", "probes")] + [_matrix(batch.column("fp"))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             same = np.logical_and.reduce([x == x[-1] for x in now[:3]])
@@ -429,16 +473,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", (common >= similarity * (F.size("_sa") + F.size("_sb") - common) - 1e-9).alias("alike"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, named: int = NAMED, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, component_id of every row with an id: the smallest id of those that links reach.
 
     Texts are linked if the Jaccard index of their sets of shingles (hashed to 64 bits) of so many words is similarity
     or more; texts without a word are alike. Fingerprints choose the pairs that are looked at: texts that are linked
     are met with a chance that falls from one for copies of a few changes to about 0.93 at the similarity itself.
 
-    A first search names as few candidates as connect what all would, so that a group of copies costs little more than
-    its size. Where some of them prove not alike and leave their groups apart, a second names more and a third all that
-    are left. Rows that share an id are one document. Other columns are left out, whatever their names.
+    A first search names the nearest candidates that connect what all would, so that a group of copies costs little
+    more than its size. Where some of them prove not alike and leave their groups apart, a second names all that are
+    left. Rows that share an id are one document. Other columns are left out, whatever their names.
     """
     known = docs.where(F.col(id_col).isNotNull())
     prints = checkpointed(lane_fingerprints(known, words, id_col, text_col))
@@ -453,24 +497,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     def search(some: DataFrame, rows: int, **how) -> DataFrame:
         more = sum(int((total * -(-probing // hot) + probing * -(-total // hot)).sum()) for _, total, probing in crowds.values())
-        return lane_candidates(lane_keys(some, plans, hot, crowds), bits, n_partitions(nodes, rows * LANES * PARTS + more * rows // max(n, 1), 500_000), **how)
+        return lane_candidates(lane_keys(some, plans, hot, crowds), plans, bits, n_partitions(nodes, rows * LANES * PARTS + more * rows // max(n, 1), 500_000), **how)
 
     pairs = checkpointed(search(nodes.withColumn("label", F.col("rep")), n))
     ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     sets, _ = stored(shingle_sets(known, ids, words, id_col, text_col, several.limit(1).count() > 0, broadcast_ids), "near-duplicates")
     checked = checkpointed(verified(pairs, sets, similarity))
     found = components(checked.where("alike").select("a", "b").union(same_id))
-    for each in (named, None):
-        label = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("label"))
-        of = checked.where("NOT alike").join(found.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
-        ends = of.select(F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")).where("_a <> _b")
-        active = checkpointed(label.join(ends.select(F.col("_a").alias("label")).union(ends.select("_b")).distinct(), "label", "left_semi").select("rep", "fp", "label"))
-        if not (rows := active.count()):
-            break
-        more = checkpointed(verified(search(active, rows, each=each, forest=False).join(checked, ["a", "b"], "left_anti"), sets, similarity))
-        checked = checked.union(more)
-        if more.where("alike").limit(1).count():
-            found = components(checked.where("alike").select("a", "b").union(same_id))
+    label = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("label"))
+    of = checked.where("NOT alike").join(found.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
+    ends = of.select(F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")).where("_a <> _b")
+    active = checkpointed(label.join(ends.select(F.col("_a").alias("label")).union(ends.select("_b")).distinct(), "label", "left_semi").select("rep", "fp", "label"))
+    if rows := active.count():
+        more = checkpointed(verified(search(active, rows, forest=False).join(checked, ["a", "b"], "left_anti"), sets, similarity).where("alike"))
+        if more.limit(1).count():
+            found = components(checked.where("alike").select("a", "b").union(more.select("a", "b")).union(same_id))
     of_key = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of_key, "key").select("doc_id", "component_id")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_SPACE, checkpointed, n_partitions, table
-from .components import components
+from .components import components, local_components
 
 BITS = 64
 SEED = 42
@@ -298,22 +298,6 @@ def _keys(distinct: DataFrame, plan: Plan, crowded: list[np.ndarray]) -> DataFra
     return distinct.mapInArrow(run, "kind int, key long, fp long, rep long, probes boolean")
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of n can reach over links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while not np.array_equal(jumped := new[new], new):
-            new = jumped
-        label = new
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
-
-
 def _linked(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, probes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of the same group (rows are sorted by it), as stars: at most one for each row."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]

@@ -167,7 +167,8 @@ def test_query_rows_that_share_an_id(spark):
 
 def test_components(spark):
     links = [(5, 3), (3, 9), (9, 12), (1, 1), (20, 21), (21, 20), (None, 4)] + [(k, k + 1) for k in range(100, 160)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got, slow = ({r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), one_task=n).collect()} for n in (1000, 0))
+    assert got == slow
     true = [p for p in links if None not in p and p[0] != p[1]]
     assert got == {k: v for k, v in least_reachable({x for p in true for x in p}, true).items() if k != v}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -271,7 +272,7 @@ def test_hot_values_lose_no_pair(spark):
     plans = [(3, parts, [np.bincount(seen[:, k, p], minlength=1 << 16) for p in range(4)]) for k in range(8)]
 
     def linked(hot, **how):
-        links = near_dup.lane_candidates(near_dup.lane_keys(distinct, plans, hot), near_dup.most_bits(0.8, slack=1.4), 8, **how).collect()
+        links = near_dup.lane_candidates(near_dup.lane_keys(distinct, plans, hot), plans, near_dup.most_bits(0.8, slack=1.4), 8, **how).collect()
         return least_reachable({k for _, k, _ in rows}, [(r.a, r.b) for r in links])
 
     want = linked(10**9)

@@ -120,7 +120,7 @@ def test_groups_fall_apart_where_pairs_fail(spark, shuffled):
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
     links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = least_reachable(sets, links)
-    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), named=1, broadcast_ids=0 if shuffled else 1000, hot=50 if shuffled else 4000).collect()}
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), broadcast_ids=0 if shuffled else 1000, hot=50 if shuffled else 4000).collect()}
     assert len(set(want.values())) > 12 and all(want[a] == want[b] for a, b in got.items())  # no link that is none
     lost = sum(got[a] != got[b] for a, b in links)
     assert lost <= 0.01 * len(links) and sum(got[i] != want[i] for i in want) <= 0.05 * len(want)
