@@ -281,12 +281,12 @@ def segments(filters: DataFrame, most: int) -> list[list[int]]:
     """Buckets whose filters go out together, at most so many bytes (or a single bucket)."""
     out: list[list[int]] = []
     size = most + 1
-    for r in filters.select("bucket", "size").orderBy("bucket").toLocalIterator():
-        if size + r.size // 8 > most:
+    for bucket, bits in sorted(map(tuple, filters.select("bucket", "size").collect())):
+        if size + bits // 8 > most:
             out.append([])
             size = 0
-        out[-1].append(r.bucket)
-        size += r.size // 8
+        out[-1].append(bucket)
+        size += bits // 8
     return out
 
 

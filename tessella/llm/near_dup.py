@@ -112,11 +112,11 @@ def _summed(rows: DataFrame, size: int) -> dict[int, np.ndarray]:
         first = rows.slice(0, 1)
         return pa.table({"kind": first.column("kind"), "some": first.column("some"), "at": pa.array([at.astype("<u4").tobytes()], pa.binary()), "n": pa.array([total[at].astype("<u4").tobytes()], pa.binary())})
 
-    kinds = rows.groupBy("kind", "some").applyInArrow(merge, _COUNTS).groupBy("kind").applyInArrow(merge, _COUNTS)
+    kinds = rows.groupBy("kind", "some").applyInArrow(merge, _COUNTS).groupBy("kind").applyInArrow(merge, _COUNTS).toArrow()
     out = {}
-    for r in kinds.toLocalIterator():
-        out[r.kind] = np.zeros(size, np.uint32)
-        out[r.kind][np.frombuffer(bytes(r["at"]), "<u4")] = np.frombuffer(bytes(r["n"]), "<u4")
+    for kind, at, n in zip(*(kinds.column(c) for c in ("kind", "at", "n")), strict=True):
+        own = out[kind.as_py()] = np.zeros(size, np.uint32)
+        own[np.frombuffer(at.as_py(), "<u4")] = np.frombuffer(n.as_py(), "<u4")
     return out
 
 
@@ -134,20 +134,20 @@ def lane_plans(distinct: DataFrame, distance: int = LANE_DISTANCE, parts: int =
     """What a plan for each lane takes, from bit correlations and part histograms of all distinct fingerprints; all of fixed size."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((LANES, BITS, BITS), np.int64)
+        total, part = np.zeros((LANES, BITS, BITS), np.int64), 0
         for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
             m = _matrix(batch.column("fp"))
             for k in range(LANES):
                 x = ((m[:, k, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
                 total[k] += (x.T @ x).astype(np.int64)
-        at = np.flatnonzero(total.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+        yield from _count_rows(np.triu(total).reshape(LANES, -1), part)
 
     n = distinct.count()
-    together = np.zeros(LANES * BITS * BITS, np.int64)
-    for r in distinct.select("fp").mapInArrow(pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
-        together[r["at"]] = r.n
-    groups = [group_bits(t, n, parts) for t in together.reshape(LANES, BITS, BITS)]
+    numbered = distinct.select("fp", F.spark_partition_id().alias("part"))
+    together = _summed(numbered.mapInArrow(pairs, _COUNTS), BITS * BITS)
+    halves = [together.get(k, np.zeros(BITS * BITS, np.uint32)).reshape(BITS, BITS).astype(np.int64) for k in range(LANES)]
+    groups = [group_bits(t + np.triu(t, 1).T, n, parts) for t in halves]
     width = 1 << (BITS // parts)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def lane_plans(distinct: DataFrame, distance: int = LANE_DISTANCE, parts: int =
                     counts[k * parts + p] += np.bincount(part_value(m[:, k], g), minlength=width).astype(np.uint32)
         yield from _count_rows(counts, part)
 
-    counts = _summed(distinct.select("fp", F.spark_partition_id().alias("part")).mapInArrow(values, _COUNTS), width)
+    counts = _summed(numbered.mapInArrow(values, _COUNTS), width)
     return [(distance, groups[k], [counts.get(k * parts + p, np.zeros(width, np.uint32)) for p in range(parts)]) for k in range(LANES)]
 
 
@@ -418,7 +418,7 @@ def _near(group: np.ndarray, rows: _Rows, rep: np.ndarray, label: np.ndarray, fo
 def lane_candidates(keys: DataFrame, lanes: list[Lane], bits: int, n: int, forest: bool = True) -> DataFrame:
     """a < b: documents that share a key, one of them probing there, and differ in at most bits of the compared lanes.
 
-    A pair counts in the first kind that it meets in, and in no other.
+    A pair counts in the first kind that it meets in, and in no other. A null label is the document itself.
 
     forest: so many of them that all which candidates connect is connected, the nearest first. Else all of different labels.
     """
@@ -437,7 +437,8 @@ def lane_candidates(keys: DataFrame, lanes: list[Lane], bits: int, n: int, fores
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "sub", "rep", "label", "met", "own", "probes")] + [_matrix(batch.column("fp"))]
+            label = "rep" if batch.column("label").null_count else "label"
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "sub", "rep", label, "met", "own", "probes")] + [_matrix(batch.column("fp"))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             same = np.logical_and.reduce([x == x[-1] for x in now[:3]])
@@ -499,7 +500,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         more = sum(int((total * -(-probing // hot) + probing * -(-total // hot)).sum()) for _, total, probing in crowds.values())
         return lane_candidates(lane_keys(some, plans, hot, crowds), plans, bits, n_partitions(nodes, rows * LANES * PARTS + more * rows // max(n, 1), 500_000), **how)
 
-    pairs = checkpointed(search(nodes.withColumn("label", F.col("rep")), n))
+    pairs = checkpointed(search(nodes.withColumn("label", F.lit(None).cast("long")), n))
     ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     sets, _ = stored(shingle_sets(known, ids, words, id_col, text_col, several.limit(1).count() > 0, broadcast_ids), "near-duplicates")
     checked = checkpointed(verified(pairs, sets, similarity))
