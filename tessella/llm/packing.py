@@ -111,7 +111,8 @@ def pack(tokens: DataFrame, window: int = WINDOW, min_piece: int = MIN_PIECE, pa
     default. Documents go to parts by hash of id, length and place, so that each part, whatever a source's size, is a like
     mix, and repeated rows are spread; a part holds about part_tokens, and more only if one document does. A part begins
     with the deficits that the parts before it leave, reckoned from sums of tokens by part and source, so that all
-    parts are packed at once. All windows are full, but a part's last tokens fill sequences of powers of two: nothing
+    parts are packed at once; of a deficit, one window is made good, since the sums drift ever further over many parts
+    and would fill whole parts' windows with one source after another. All windows are full, but a part's last tokens fill sequences of powers of two: nothing
     is padded. Repeated rows are packed as often as they occur; an empty table gives no piece.
     """
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
@@ -126,7 +127,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, min_piece: int = MIN_PIECE, pa
     carried = (
         sums.join(wanted, "source", "left").na.fill(0.0, ["share"]).join(by_part, "part")
         .selectExpr("part", "source", "share", "n", "all_before", "coalesce(sum(n) OVER (PARTITION BY source ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own_before")
-        .selectExpr("part", "source", "share", "share * all_before - own_before AS deficit")
+        .selectExpr("part", "source", "share", f"least(greatest(share * all_before - own_before, -{window}D), {window}D) AS deficit")
         .toDF("to_part", "of", "share", "deficit")
     )
 

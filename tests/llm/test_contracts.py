@@ -164,7 +164,7 @@ def test_mixture_through_pack(spark):
     table = [(k, s, int(n), k) for k, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
     table += [(None, "a", 100, k) for k in range(2000)]  # the same row again and again
     frame = spark.createDataFrame(table, "doc_id long, source string, n_tokens long, nth long").selectExpr("*", "unhex(repeat('0100', cast(n_tokens AS int))) AS ids", "false AS wide")
-    parts = 20
+    parts = 5
     total = sum(r[2] for r in table)
     pieces = packing.pack(frame.cache(), window=256, min_piece=8, part_tokens=-(-total // parts)).collect()
     assert sum(p.length for p in pieces) == total and all(len(p.ids) == 4 * p.length for p in pieces)
