@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +92,10 @@ Lane = tuple[int, list[list[int]], list[np.ndarray]]
 
 
 class Sent:
-    """What goes to workers: lanes and something more. A worker makes the plans once, not in each task."""
+    """Lanes, as they go to workers: a worker makes the plans once, not in each task."""
 
-    def __init__(self, lanes: list[Lane], more: object):
-        self.lanes, self.more, self._plans = lanes, more, None
+    def __init__(self, lanes: list[Lane]):
+        self.lanes, self._plans = lanes, None
 
     def plans(self) -> list[Plan]:
         if self._plans is None:
@@ -195,23 +196,22 @@ def _met(plans: list[Plan], m: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def lane_crowds(distinct: DataFrame, lanes: list[Lane], hot: int = HOT) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def lane_crowds(distinct: DataFrame, lanes: list[Lane], sent: Broadcast[Sent], hot: int = HOT) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By kind: the keys (ascending) that have more than hot rows, all their rows, and those of them that probe."""
     counts = [c for _, _, counts in lanes for c in counts]
     reach = [(len(g), d) for d, parts, _ in lanes for g in parts]
     maybe = [np.packbits(within(c, bits, d)[d] > hot) for c, (bits, d) in zip(counts, reach, strict=True)]  # own rows and probes can be no more
     if not any(m.any() for m in maybe):
         return {}
-    shared = distinct.sparkSession.sparkContext.broadcast(Sent(lanes, maybe))
 
     def run(batches: Iterator[pa.RecordBatch], what: int) -> Iterator[pa.RecordBatch]:
-        plans, maybe, part = shared.value.plans(), [np.unpackbits(m).astype(bool) for m in shared.value.more], 0
-        found = np.zeros((len(maybe), len(maybe[0])), np.uint32)
+        plans, allowed, part = sent.value.plans(), [np.unpackbits(m).astype(bool) for m in maybe], 0
+        found = np.zeros((len(allowed), len(allowed[0])), np.uint32)
         for batch in batches:
             part, last = batch.column("part")[0].as_py() if batch.num_rows else part, -1
             for kind, key, _, probes in _places(plans, _matrix(batch.column("fp"))):
                 some = key[probes] if what else key if kind == last else key[:0]  # all that probe, or what comes after the own places
-                np.add.at(found[kind], some[maybe[kind][some]], 1)
+                np.add.at(found[kind], some[allowed[kind][some]], 1)
                 last = kind
         yield from _count_rows(found, part)
 
@@ -226,18 +226,19 @@ def lane_crowds(distinct: DataFrame, lanes: list[Lane], hot: int = HOT) -> dict[
     return out
 
 
-def lane_keys(distinct: DataFrame, lanes: list[Lane], hot: int = HOT, crowds: dict | None = None) -> DataFrame:
+def lane_keys(distinct: DataFrame, lanes: list[Lane], hot: int = HOT, sent: Broadcast[Sent] | None = None, crowds: dict | None = None) -> DataFrame:
     """kind (lane and part), key, sub, rep, label, fp (compared lanes), met (see _met()), own, probes: each document's place in every part of every lane, and its probes.
 
     sub is 0, but for values that more than hot rows have (lane_crowds(), found here if not given). There the rows form
     blocks by a hash of the id, and those that probe form blocks of their own, and sub is a block of rows with a block
     of probing ones: every pair of which one probes meets in one such cell at least. Values without a probe have no rows.
     """
-    crowds = lane_crowds(distinct, lanes, hot) if crowds is None else crowds
-    shared = distinct.sparkSession.sparkContext.broadcast(Sent(lanes, crowds))
+    sc = distinct.sparkSession.sparkContext
+    sent = sc.broadcast(Sent(lanes)) if sent is None else sent
+    shared = sc.broadcast(lane_crowds(distinct, lanes, sent, hot) if crowds is None else crowds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans, crowds = shared.value.plans(), shared.value.more
+        plans, crowds = sent.value.plans(), shared.value
 
         def dealt(kind: int, key: np.ndarray, at: np.ndarray, spot: np.ndarray, probes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
             if kind not in crowds:
@@ -490,7 +491,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     nodes = checkpointed(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("rep")))
     n = nodes.count()
     plans = lane_plans(nodes)
-    crowds = lane_crowds(nodes, plans, hot)
+    sent = docs.sparkSession.sparkContext.broadcast(Sent(plans))
+    crowds = lane_crowds(nodes, plans, sent, hot)
     bits = most_bits(similarity)
     of_id = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_lo"), F.max("key").alias("_hi")).where("_n > 1")
     several = checkpointed(of_id.select("doc_id", (F.col("_lo") != F.col("_hi")).alias("_differ")))
@@ -498,7 +500,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     def search(some: DataFrame, rows: int, **how) -> DataFrame:
         more = sum(int((total * -(-probing // hot) + probing * -(-total // hot)).sum()) for _, total, probing in crowds.values())
-        return lane_candidates(lane_keys(some, plans, hot, crowds), plans, bits, n_partitions(nodes, rows * LANES * PARTS + more * rows // max(n, 1), 500_000), **how)
+        return lane_candidates(lane_keys(some, plans, hot, sent, crowds), plans, bits, n_partitions(nodes, rows * LANES * PARTS + more * rows // max(n, 1), 500_000), **how)
 
     pairs = checkpointed(search(nodes.withColumn("label", F.lit(None).cast("long")), n))
     ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -513,6 +515,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         more = checkpointed(verified(search(active, rows, forest=False).join(checked, ["a", "b"], "left_anti"), sets, similarity).where("alike"))
         if more.limit(1).count():
             found = components(checked.where("alike").select("a", "b").union(more.select("a", "b")).union(same_id))
+    sent.destroy()  # all that used it is in the shared folder
     of_key = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of_key, "key").select("doc_id", "component_id")
 
