@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, min_piece: int = MIN_PIECE, pa
         first = carry.column("to_part")[0].as_py() << 32 if carry.num_rows else 0
         flat = b"".join([np.frombuffer(x.as_py(), "<u4" if w else "<u2").astype("<u4").tobytes() for x, w in zip(docs.column("ids"), docs.column("wide").to_pylist(), strict=True)])
         sizes = docs.column("n_tokens").to_numpy()
-        pieces = np.array(list(deal(queues, share, deficit, window, min_piece)), np.int64).reshape(-1, 5)
+        pieces = np.fromiter(chain.from_iterable(deal(queues, share, deficit, window, min_piece)), np.int64).reshape(-1, 5)
         doc, start, length, sequence, offset = pieces.T
         begin = ((np.cumsum(sizes) - sizes)[doc] + start) * 4
         ids = [flat[a:b] for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]

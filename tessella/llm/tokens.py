@@ -14,26 +14,28 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces in a generation of a worker's cache. When one is full, the last is forgotten, but for what was met again;
-#: that costs time, not results.
+#: Pieces, and words that pieces are made of, in a generation of a worker's cache. When one is full, the last is
+#: forgotten, but for what was met again; that costs time, not results.
 CACHE_PIECES = 600_000
+CACHE_WORDS = 500_000
 
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-_MARKS = "[.,:;!?|]*"
+_MARKS = "[.,:;!?|$%&*#]*"
+
 
 class _Pieces(dict):
-    """Ids by piece, in two generations; what both lack is computed."""
+    """Ids by piece, in two generations of so many; what both lack is computed."""
 
-    def __init__(self, compute: Callable[[str], bytes]):
+    def __init__(self, compute: Callable[[str], bytes], most: int):
         super().__init__()
-        self.compute = compute
+        self.compute, self.most = compute, most
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = self.compute(piece)
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[piece] = ids
@@ -62,7 +64,8 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = _kind(spec)
-        self.pieces = _Pieces(self._piece if self.kind == "dropped" else lambda p: self._piece(" " + p))
+        self.pieces = _Pieces(self._piece if self.kind == "dropped" else lambda p: self._piece(" " + p), CACHE_PIECES)
+        self.words = _Pieces(self._word, CACHE_WORDS)
         self.signs: dict[str, bytes] = {"": b""}
         lead = " ?" if self.kind == "leading" else ""
         self.simple = re.compile(f"({lead}{_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?")
@@ -92,12 +95,15 @@ class PieceEncoder:
         return ids
 
     def _piece(self, piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " and self.kind == "leading" else piece
+        if word.isalpha() and word.isascii():
+            return self.words[piece]
         if m := self.simple.fullmatch(piece):
             first, signs, feed, second, more = m.groups()
-            ids = self._word(first)
+            ids = self.words[first]
             if signs:
                 ids += self._sign(signs)
-            return ids + self._sign(feed) + self._word(second) + self._sign(more) if feed else ids
+            return ids + self._sign(feed) + self.words[second] + self._sign(more) if feed else ids
         return self._library([piece])[0] if piece else b""
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
