@@ -27,7 +27,7 @@ START = 0.97
 GROWTH = 1.05
 
 #: Vectors that are indexed at a time, and queries that are broadcast at a time.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16_384
 QUERY_ROWS = 32_768
 
 SEED = 20
@@ -49,7 +49,7 @@ class Block:
         unit = x / scale
         rest = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", unit, unit)))
         values = np.column_stack([unit, rest]) @ directions
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
+        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(values, self.order.T, axis=0).T.copy()
         m = directions.shape[1]
         p = 2 * NormalDist().cdf(HALF_WIDTH) - 1
