@@ -35,14 +35,14 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = encoder(tokenizer).encode, 0
+        encode, before, end = encoder(tokenizer).encode, 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             sizes, raw, wide = [], [], []
             for ids in encode(batch.column("t").to_pylist()):
-                a = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+                a = np.frombuffer(ids + end, "<u4")
                 wide.append(bool(a.max() >> 16))
                 sizes.append(len(a))
-                raw.append(a.astype("<u4" if wide[-1] else "<u2").tobytes())
+                raw.append((a if wide[-1] else a.astype("<u2")).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("i"), batch.column("s"), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(wide, pa.bool_()), pa.array(range(before, before + len(sizes)), pa.int64())],
                 ["doc_id", "source", "n_tokens", "ids", "wide", "nth"],

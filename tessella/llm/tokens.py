@@ -112,7 +112,7 @@ class PieceEncoder:
                 if self.kind == "dropped":
                     yield b"".join(map(ids_of, _lowered(text).replace("\n", " ").split(" ")))
                     continue
-                first, *rest = [x.removeprefix(" ") if k else x for k, x in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" ")
+                first, *rest = [x.removeprefix(" ") if k else x for k, x in enumerate(_CUT.split(text))] if _odd(text) else text.split(" ")
                 yield self._piece(first) + b"".join(map(ids_of, rest))
         finally:
             gc.enable()
@@ -137,6 +137,13 @@ _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
+def _odd(text: str) -> bool:
+    """Whether a space follows white space; in printable text, of which line feeds are no part, a space is the only other white space."""
+    if text.replace("\n", "").isprintable():
+        return "  " in text or "\n " in text
+    return _ODD.search(text) is not None
+
+
 def _kind(spec: dict) -> str:
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
