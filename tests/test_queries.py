@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__
 from tessella.operators import registry, statistics
 from tessella.operators.index import range_scan
+from tessella.operators.relational import full_join
 from tessella.session import TABLES
 from tessella.streaming.windows import event_stream, sessions, tumbling
 
@@ -92,3 +93,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("tumbled").count() == registry.QUERIES["ext_tumbling_window"](spark, SF).count()
     batch = spark.read.parquet(f"{SF}/events.parquet").selectExpr("*", "cast(ts AS timestamp) AS at")
     assert sessions(batch, "1 hour").groupBy().sum("n").first()[0] == batch.count()
+
+
+def test_full_join_of_rows_that_share_a_key(spark, tmp_path):
+    """No task makes all pairs of a key; rows without a partner, and null keys, stay once."""
+    from pyspark.sql import functions as F
+
+    spark.range(3002).selectExpr("id AS s_suppkey", "cast(if(id < 3000, 9, id - 3000) AS int) AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(5003).selectExpr("id AS c_custkey", "cast(if(id < 5000, 9, id - 4980) AS int) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    tasks = registry.QUERIES["join_full"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count("s_suppkey").alias("s"), F.count("c_custkey").alias("c"), F.sum("s_suppkey").alias("x"), F.sum("c_custkey").alias("y")).collect()
+    pairs = 3000 * 5000
+    assert sum(r.n for r in tasks) == pairs + 5 and sum(r.s for r in tasks) == pairs + 2 and sum(r.c for r in tasks) == pairs + 3
+    assert sum(r.x or 0 for r in tasks) == 5000 * sum(range(3000)) + 6001 and sum(r.y or 0 for r in tasks) == 3000 * sum(range(5000)) + 15003
+    assert max(r.n for r in tasks) < 0.7 * pairs
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_full_join_in_blocks(spark, block):
+    a = [(i, k) for i, k in enumerate([1] * 7 + [2, 2, 3, None, None, 5])]
+    b = [(str(i), k) for i, k in enumerate([1] * 5 + [2] * 4 + [4, None] + [5] * 2)]
+    left, right = spark.createDataFrame(a + a[:2], "a long, k int"), spark.createDataFrame(b, "b string, l int")
+    want = left.join(right, left.k == right.l, "full")
+    got = full_join(left, right, "k", "l", block)
+    assert got.columns == want.columns and plain(got.collect()) == plain(want.collect())
+    none = right.where("false")
+    assert plain(full_join(left, none, "k", "l", block).collect()) == plain(left.join(none, left.k == none.l, "full").collect())
