@@ -70,16 +70,16 @@ def is_aligned(x: Column, step: int) -> Column:
     return x.cast("long").bitwiseAND(F.lit(step - 1).cast("long")) == 0
 
 
-def format_bytes(n: Column) -> Column:
-    """Two digits and a unit, in steps of 1024; halves go to the even digit."""
+def format_bytes(n: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """Two digits and a unit, in steps of 1024, the last unit for all that is larger; halves go to the even digit, null stays null."""
 
     def shown(k: int) -> Column:
-        return F.format_string(f"%.2f {UNITS[k]}", F.bround(n.cast("double") / float(1024**k), 2))
+        return F.format_string(f"%.2f {units[k]}", F.bround(n.cast("double") / float(1024**k), 2))
 
-    out = shown(len(UNITS) - 1)
-    for k in range(len(UNITS) - 2, -1, -1):
+    out = shown(len(units) - 1)
+    for k in range(len(units) - 2, -1, -1):
         out = F.when(n < 1024 ** (k + 1), shown(k)).otherwise(out)
-    return out
+    return F.when(n.isNotNull(), out)
 
 
 def is_uuid(s: Column) -> Column:

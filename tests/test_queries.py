@@ -118,3 +118,17 @@ def test_full_join_in_blocks(spark, block):
     assert got.columns == want.columns and plain(got.collect()) == plain(want.collect())
     none = right.where("false")
     assert plain(full_join(left, none, "k", "l", block).collect()) == plain(left.join(none, left.k == none.l, "full").collect())
+
+
+def test_format_bytes_of_large_numbers(spark, tmp_path):
+    """The query has units up to MB, the function up to TB; null is null."""
+    from tessella.functions.scalar import format_bytes
+
+    keys = [(k,) for k in (None, 0, 3, 4, 4080, 4081, 4_177_983, 4_177_984, 9_000_000, 4_278_255_361, -5)]
+    spark.createDataFrame(keys, "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["fn_format_bytes"](spark, str(tmp_path)).collect()]
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert plain(got) == plain(own.sql(registry.SQL["fn_format_bytes"]).fetchall())
+    sizes = spark.createDataFrame([(1023,), (1024,), (2**30,), (3 * 2**39,), (2**51,), (None,)], "n long")
+    assert [r[0] for r in sizes.select(format_bytes(sizes.n)).collect()] == ["1023.00 B", "1.00 KB", "1.00 GB", "1.50 TB", "2048.00 TB", None]
